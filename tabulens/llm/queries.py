@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulens.llm import hilbert, ogg
+from tabulens.llm import bpe, hilbert, ogg
 from tabulens.llm.common import documents
 
 
@@ -14,9 +15,13 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.document_shards(documents(spark, sf_dir), 40)
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), path)
+
+
 def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.digests(ogg.load(ogg.store(documents(spark, sf_dir))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_hilbert_shards, op7_ogg)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_hilbert_shards, op3_byte_bpe, op7_ogg)}
 ORACLE: dict[str, str] = {}
