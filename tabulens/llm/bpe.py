@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from tabulens.llm.common import Rows, as_bytes, blocks, partitions, text_or_empty
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Ids that are decoded at once.
+DECODE_IDS = 1 << 20
 #: Unicode's white space.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: What may follow an apostrophe as one pre-token.
@@ -254,10 +256,14 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.array(vocabulary(path).table, pa.binary())
         for batch in batches:
-            for rows in _by_values(batch, BLOCK_BYTES // 16):
+            for rows in _by_values(batch, DECODE_IDS):
                 lists = rows.column(1)
-                texts = [b"".join(table.take(x.values).to_pylist()) if x.is_valid else b"" for x in lists]
-                yield pa.RecordBatch.from_arrays([rows.column(0), lists.cast(schema.field(1).type), pa.array(texts, pa.binary())], schema=schema)
+                # the bytes of all rows lie in one buffer; a row's text ends where its last id's bytes end
+                found = table.take(lists.flatten())
+                at = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy())])
+                ends = np.frombuffer(found.buffers()[1], np.int32, len(found) + 1) if len(found) else np.zeros(1, np.int32)
+                texts = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(ends[at])), found.buffers()[2]])
+                yield pa.RecordBatch.from_arrays([rows.column(0), lists.cast(schema.field(1).type), texts], schema=schema)
 
     return encoded.select(F.col(key).cast("long").alias(key), ids).mapInArrow(run, f"{key} long, {ids} array<int>, decoded binary")
 
