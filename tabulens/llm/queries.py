@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulens.llm import bpe, hilbert, ogg
+from tabulens.llm import bpe, hilbert, ogg, toxicity
 from tabulens.llm.common import documents
 
 
@@ -23,5 +23,9 @@ def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.digests(ogg.load(ogg.store(documents(spark, sf_dir))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_hilbert_shards, op3_byte_bpe, op7_ogg)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.document_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_hilbert_shards, op3_byte_bpe, op7_ogg, op9_toxicity)}
 ORACLE: dict[str, str] = {}
