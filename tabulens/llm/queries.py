@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulens.llm import bpe, hilbert, ogg, toxicity
+from tabulens.llm import bpe, decontam, hilbert, licenses, ogg, toxicity
 from tabulens.llm.common import documents
 
 
@@ -19,6 +19,14 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizers
     return bpe.digests(documents(spark, sf_dir), path)
 
 
+def op4_pigeonhole_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).drop("matches")
+
+
 def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.digests(ogg.load(ogg.store(documents(spark, sf_dir))))
 
@@ -27,5 +35,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.document_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_hilbert_shards, op3_byte_bpe, op7_ogg, op9_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_hilbert_shards, op3_byte_bpe, op4_pigeonhole_edit, op6_license_join, op7_ogg, op9_toxicity)}
 ORACLE: dict[str, str] = {}
