@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulens.llm import bpe, decontam, hilbert, licenses, ogg, toxicity, warc
+from tabulens.llm import bpe, decontam, hilbert, licenses, ogg, pii, toxicity, warc
 from tabulens.llm.common import documents
 
 
@@ -23,6 +23,10 @@ def op4_pigeonhole_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.document_spans(documents(spark, sf_dir))
+
+
 def op6_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).drop("matches")
 
@@ -39,5 +43,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_hilbert_shards, op3_byte_bpe, op4_pigeonhole_edit, op6_license_join, op7_ogg, op9_toxicity, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_hilbert_shards, op3_byte_bpe, op4_pigeonhole_edit, op5_boosted_pii, op6_license_join, op7_ogg, op9_toxicity, op10_warc)}
 ORACLE: dict[str, str] = {}
