@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulens.llm import bpe, decontam, hilbert, licenses, ogg, pii, toxicity, warc
+from tabulens.llm import bpe, decontam, hilbert, licenses, minhash, ogg, pii, toxicity, warc
 from tabulens.llm.common import documents
 
 
@@ -35,6 +35,10 @@ def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.digests(ogg.load(ogg.store(documents(spark, sf_dir))))
 
 
+def op8_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), minhash.QUERY)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.document_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -43,5 +47,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_hilbert_shards, op3_byte_bpe, op4_pigeonhole_edit, op5_boosted_pii, op6_license_join, op7_ogg, op9_toxicity, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_hilbert_shards, op3_byte_bpe, op4_pigeonhole_edit, op5_boosted_pii, op6_license_join, op7_ogg, op8_circulant_minhash, op9_toxicity, op10_warc)}
 ORACLE: dict[str, str] = {}
