@@ -17,12 +17,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import Rows, as_bytes, blocks, partitions, text_or_empty
+from tabulens.llm.common import Rows, blocks, partitions, text_or_empty
+from tabulens.llm.packing import pack_bytes, pack_numbers, unpack_bytes, unpack_numbers
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
@@ -85,29 +85,6 @@ def pre_tokens(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
-def _pack_numbers(x: np.ndarray) -> bytes:
-    """uint32 numbers by byte planes, so that small ones cost little."""
-    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def _unpack_numbers(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
-
-
-def _pack_bytes(items: list[bytes]) -> bytes:
-    sizes = np.fromiter(map(len, items), np.uint32, len(items)).tobytes()
-    return len(items).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(sizes + b"".join(items))
-
-
-def _unpack_bytes(data: bytes) -> list[bytes]:
-    n = int.from_bytes(data[:4], "little")
-    raw = zstandard.ZstdDecompressor().decompress(data[4:])
-    ends = (np.frombuffer(raw, np.uint32, n).cumsum(dtype=np.int64) + 4 * n).tolist()
-    return [raw[a:b] for a, b in zip([4 * n, *ends], ends, strict=False)]
-
-
 class Vocabulary:
     """The ranks of a rank file: base64 of a token's bytes and its id on each line."""
 
@@ -185,7 +162,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
             for o in range(n):
                 own = order[cuts[o] : cuts[o + 1]]
                 if len(own):
-                    row = o, block, stamp, _pack_numbers(np.diff(own, prepend=0)), _pack_bytes([data[i] for i in own.tolist()])
+                    row = o, block, stamp, pack_numbers(np.diff(own, prepend=0)), pack_bytes([data[i] for i in own.tolist()])
                     yield from out.add(row, len(row[3]) + len(row[4]))
         yield from out.flush()
 
@@ -195,7 +172,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
             place = {w: i for i, w in enumerate(distinct)}
             stamp = _stamp(distinct)
             for k, w in zip(rows.column(0).to_pylist(), words, strict=True):
-                blob = _pack_numbers(np.fromiter(map(place.__getitem__, w), np.uint32, len(w)))
+                blob = pack_numbers(np.fromiter(map(place.__getitem__, w), np.uint32, len(w)))
                 yield from out.add((block, stamp, k, blob), len(blob))
         yield from out.flush()
 
@@ -205,13 +182,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
             for _, block, stamp, places, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids: list[int] = []
                 sizes: list[int] = []
-                for w in _unpack_bytes(blob):
+                for w in unpack_bytes(blob):
                     found = known.get(w)
                     if found is None:
                         found = known[w] = tuple(vocab.word(w))
                     ids += found
                     sizes.append(len(found))
-                row = block, stamp, places, _pack_numbers(np.array(sizes)), _pack_numbers(np.array(ids))
+                row = block, stamp, places, pack_numbers(np.array(sizes)), pack_numbers(np.array(ids))
                 yield from out.add(row, sum(map(len, row[2:])))
         yield from out.flush()
 
@@ -219,9 +196,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
         stamps = {*left.column("stamp").to_pylist(), *right.column("stamp").to_pylist()}
         if len(stamps) > 1:
             raise RuntimeError("a block of documents was read differently the second time; encode a written table")
-        places = [_unpack_numbers(b).cumsum(dtype=np.int64) for b in right.column("places").to_pylist()]
-        sizes = [_unpack_numbers(b) for b in right.column("sizes").to_pylist()]
-        flat = np.concatenate([_unpack_numbers(b) for b in right.column("ids").to_pylist()] or [np.zeros(0, np.uint32)]).astype(np.int32)
+        places = [unpack_numbers(b).cumsum(dtype=np.int64) for b in right.column("places").to_pylist()]
+        sizes = [unpack_numbers(b) for b in right.column("sizes").to_pylist()]
+        flat = np.concatenate([unpack_numbers(b) for b in right.column("ids").to_pylist()] or [np.zeros(0, np.uint32)]).astype(np.int32)
         at = np.concatenate(places or [np.zeros(0, np.int64)])
         size = np.zeros(len(at), np.int64)
         start = np.zeros(len(at), np.int64)
@@ -230,7 +207,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
         start[at] = np.cumsum(every) - every
         keys, out, ends = [], [], [0]
         for k, blob in zip(left.column(key).to_pylist(), left.column("places").to_pylist(), strict=True):
-            p = _unpack_numbers(blob)
+            p = unpack_numbers(blob)
             n_ids = size[p]
             total = int(n_ids.sum())
             out.append(flat[np.repeat(start[p] - (np.cumsum(n_ids) - n_ids), n_ids) + np.arange(total)])

@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulens.llm import bpe, decontam, hilbert, licenses, minhash, ogg, pii, toxicity, warc
+from tabulens.llm import bpe, decontam, hilbert, licenses, lm_mix, minhash, ogg, pii, toxicity, warc
 from tabulens.llm.common import documents
 
 
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_mix.document_scores(documents(spark, sf_dir))
+
+
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.document_shards(documents(spark, sf_dir), 40)
 
@@ -47,5 +51,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_hilbert_shards, op3_byte_bpe, op4_pigeonhole_edit, op5_boosted_pii, op6_license_join, op7_ogg, op8_circulant_minhash, op9_toxicity, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_context_mixing, op2_hilbert_shards, op3_byte_bpe, op4_pigeonhole_edit, op5_boosted_pii, op6_license_join, op7_ogg, op8_circulant_minhash, op9_toxicity, op10_warc)}
 ORACLE: dict[str, str] = {}
