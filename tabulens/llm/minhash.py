@@ -71,8 +71,9 @@ class Shingler:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        for w in {*tokens} - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
+        for w in {*tokens}:
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
         n = min(self.words, len(h))
         total = np.full(len(h) - n + 1, n, np.uint64)
