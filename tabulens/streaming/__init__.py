@@ -1,0 +1 @@
+"""Nothing is here on purpose: datasets are immutable, and a stream would be a row of datasets, each ingested as a batch."""
