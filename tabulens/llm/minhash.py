@@ -26,7 +26,7 @@ BANDS, ROWS = 25, 4
 #: Standard deviations below the threshold from which on a pair's estimated similarity rules it out, in the second round.
 SLACK = 5.0
 #: Members of a bucket that one task compares with each other; larger buckets are compared chunk by chunk.
-CHUNK = 2048
+CHUNK = 1024
 #: Words whose hashes a worker remembers.
 REMEMBERED = 1 << 20
 
@@ -180,25 +180,49 @@ def components(links: DataFrame, most: int = 40) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
-def _cross(like: Likeness):
-    """Pairs of different components in a bucket whose signatures agree often enough to be alike."""
+def _joining(like: Likeness):
+    """Links that join components within a part of a bucket, exactly verified; at most one fewer than there are components.
+
+    A pair is compared unless it is joined already, its sizes or signatures rule it out, or an earlier band has both.
+    """
     size, share = BANDS * ROWS, like.num / like.den
     least = int(size * (share - SLACK * (share * (1 - share) / size) ** 0.5))
 
     def run(table: pa.Table) -> pa.Table:
-        node, comp, chunk = table.column("node").to_pylist(), np.array([hash(c) for c in table.column("comp").to_pylist()]), np.array(table.column("chunk").to_pylist())
-        brief = np.frombuffer(b"".join(table.column("brief").to_pylist()), np.uint8).reshape(len(node), size)
-        low, high = chunk.min(), chunk.max()
+        node, chunk, n = table.column("node").to_pylist(), np.array(table.column("chunk").to_pylist()), table.num_rows
+        brief = np.frombuffer(b"".join(table.column("brief").to_pylist()), np.uint8).reshape(n, size)
+        bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(n, BANDS)
+        sizes = np.array(table.column("n").to_pylist(), np.int64)
+        at = int(np.flatnonzero(bands[0] == table.column("band")[0].as_py())[0])
+        numbers: dict[bytes, int] = {}
+        root = np.array([numbers.setdefault(c, len(numbers)) for c in table.column("comp").to_pylist()])
+        packed = table.column("shingles").to_pylist()
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = unpack_set(packed[i])
+            return sets[i]
+
+        same = chunk.min() == chunk.max()
+        right = np.arange(n) if same else np.flatnonzero(chunk == chunk.max())
         a, b = [], []
-        right = np.flatnonzero(chunk == high)
-        for i in np.flatnonzero(chunk == low).tolist():
-            other = right[(comp[right] != comp[i]) & ((right > i) if low == high else True)]
-            if len(other):
-                near = other[(brief[other] == brief[i]).sum(axis=1) >= least]
-                for j in near.tolist():
-                    x, y = sorted((node[i], node[j]))
-                    a.append(x)
-                    b.append(y)
+        for i in range(n) if same else np.flatnonzero(chunk == chunk.min()).tolist():
+            other = right[right > i] if same else right
+            other = other[root[other] != root[i]]
+            small, large = np.minimum(sizes[other], sizes[i]), np.maximum(sizes[other], sizes[i])
+            other = other[like.den * small >= like.num * large]
+            if not len(other):
+                continue
+            other = other[(brief[other] == brief[i]).sum(axis=1) >= least]
+            other = other[(bands[other, :at] != bands[i, :at]).all(axis=1)]
+            for j in other.tolist():
+                if root[j] != root[i]:
+                    s, t = set_of(i), set_of(j)
+                    if like.linked(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t)):
+                        a.append(node[i])
+                        b.append(node[j])
+                        root[root == root[j]] = root[i]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run
@@ -224,7 +248,7 @@ def near_duplicates(docs: DataFrame, like: Likeness, text: str = "text", key: st
     first = written(first, "pairs")
     # one row of each distinct set that occurs in a shared bucket
     wanted = shared.select("node").distinct().join(owners, "node").select("uid")
-    sets = written(table.select("uid", "node", "shingles", "brief").join(wanted, "uid", "left_semi").drop("uid"), "sets")
+    sets = written(table.select("uid", "node", "n", "shingles", "brief", "bands").join(wanted, "uid", "left_semi").drop("uid"), "sets")
     links = written(_verified(first, sets, like), "links")
     joined = written(components(links), "components")
     known = shared.join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -233,11 +257,9 @@ def near_duplicates(docs: DataFrame, like: Likeness, text: str = "text", key: st
     # a bucket of several chunks is compared chunk by chunk; a member goes to each pair of chunks that has its own
     own = F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int")
     rest = rest.withColumn("chunk", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rest = rest.join(sets.select("node", "brief"), "node")
-    rest = rest.select("band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "comp", "chunk", "brief")
-    second = rest.groupBy("band", "i", "j").applyInArrow(_cross(like), "a binary, b binary").distinct()
-    second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    more = _verified(second, sets, like)
+    rest = rest.join(sets, "node")
+    rest = rest.select("band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "comp", "chunk", "n", "brief", "bands", "shingles")
+    more = rest.groupBy("band", "i", "j").applyInArrow(_joining(like), "a binary, b binary")
     more = more.join(joined.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(joined.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
     more = components(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     final = joined.join(more.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
