@@ -202,12 +202,15 @@ for _g, _f, _d in (("weekday", "isodow", "1,8"), ("month", "month", "1,13"), ("h
     query(f"cycle_{_g}", "events", f"WITH d AS (SELECT unnest(range({_d}))::BIGINT AS key), c AS (SELECT {_f}(ts)::BIGINT AS key, count(*) n FROM events GROUP BY 1) SELECT d.key, coalesce(c.n,0)::BIGINT AS count FROM d LEFT JOIN c USING(key)")(lambda r, g=_g: P.cycle(r, "ts", g))
 query("boolean_counts", "labels", "SELECT count(*) FILTER (WHERE toxic=1) AS true_count, count(*) FILTER (WHERE toxic=0) AS false_count, 0::BIGINT AS other_count FROM labels")(lambda r: P.boolean_counts(Relation.of(r.df.withColumn("toxic", F.col("toxic") == 1), ["doc_id"]), "toxic"))
 
-HOLES = {"value": F.when(F.col("event_id") % 5 != 0, F.col("value")), "event_type": F.nullif("event_type", F.lit("click")), "props": F.when(F.col("event_id") % 3 != 0, F.col("props")).otherwise(F.lit(" "))}
+HOLES = ("value", "event_type", "props")
 HOLES_SQL = "(SELECT CASE WHEN event_id%5<>0 THEN value END AS value, nullif(event_type,'click') AS event_type, CASE WHEN event_id%3<>0 THEN props ELSE ' ' END AS props FROM events)"
 
 
 def holes(r: Relation) -> Relation:
-    return Relation.of(r.df.select("event_id", *[c.alias(n) for n, c in HOLES.items()]), ["event_id"])
+    """The events with values made missing, in the way of HOLES_SQL."""
+    key = F.col("event_id")
+    made = (F.when(key % 5 != 0, F.col("value")), F.nullif("event_type", F.lit("click")), F.when(key % 3 != 0, F.col("props")).otherwise(F.lit(" ")))
+    return Relation.of(r.df.select("event_id", *[c.alias(n) for n, c in zip(HOLES, made, strict=True)]), ["event_id"])
 
 
 _MISS = {"value": "value IS NULL", "event_type": "(event_type IS NULL OR trim(event_type)='')", "props": "(props IS NULL OR trim(props)='')"}
