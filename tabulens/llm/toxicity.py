@@ -8,6 +8,7 @@ is evidence. A logistic curve over the strongest windows, fitted on the labelled
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -24,7 +25,7 @@ from tabulens.llm.common import BATCH_BYTES, blocks, text_or_empty
 #: Labelled rows to learn from, at most: those with the least hash of their id.
 SAMPLE = 20_000
 #: Words in a window, letters of a word at most (longer ones are cut), and lengths of the word beginnings in a dictionary.
-WINDOW, WORD, BEGINNINGS = 6, 64, range(5, 9)
+WINDOW, WORD, BEGINNINGS = 3, 64, range(5, 13)
 #: Beginnings in a dictionary: common to both classes, and typical of one.
 COMMON, TYPICAL = 600, 200
 THRESHOLD = 0.3
@@ -49,6 +50,12 @@ def beginnings(text: str) -> set[str]:
     return {w[: k - 1] for w in set(words(text)) for k in BEGINNINGS if len(w) >= k - 1}
 
 
+def family(text: str) -> int:
+    """The least hash of a text's runs of three words, which near copies mostly share."""
+    w = words(text)
+    return min((zlib.crc32(" ".join(w[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(w) - 2))), default=0)
+
+
 def held_out(key: Column) -> Column:
     """Whether a row is never learnt from."""
     return F.crc32(key.cast("string").cast("binary")) % 4 == 2
@@ -106,7 +113,8 @@ def _surprise(own: str, total: str, share: float) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Dictionaries and curve from labelled rows that are not held out; None without two classes.
 
-    Rows without a label or an id are left out; of several labels of one id the largest holds; equal texts count once.
+    Rows without a label or an id are left out; of several labels of one id the largest holds; equal texts count once,
+    and of near copies mostly one is counted.
     What reaches the driver is bounded by ``sample`` rows of a few numbers and by the sizes of the dictionaries.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
@@ -121,6 +129,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
             return None
         share = sizes[1] / sum(sizes.values())
 
+        def families(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [family(t) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=["toxic", "text_", "family"])
+
+        # near copies would make whatever they hold look typical, so one text of each family is counted
+        alone = rows.mapInArrow(families, "toxic int, text_ string, family long").groupBy("family", "toxic").agg(F.min("text_").alias("text_")).select("toxic", "text_")
+
         def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts: tuple[Counter[str], Counter[str]] = Counter(), Counter()
             for batch in batches:
@@ -131,14 +147,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
                 part = units[i : i + 50_000]
                 yield pa.RecordBatch.from_pydict({"unit": pa.array(part, pa.string()), "toxic": pa.array([counts[1][u] for u in part], pa.int64()), "ordinary": pa.array([counts[0][u] for u in part], pa.int64())})
 
-        units = rows.mapInArrow(count, "unit string, toxic long, ordinary long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+        units = alone.mapInArrow(count, "unit string, toxic long, ordinary long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
         units = units.withColumn("both", F.col("toxic") + F.col("ordinary")).filter("both >= 3").cache()
         least = math.log(max(2, units.count())) + 2
 
         def typical(own: str, of: float) -> list[str]:
-            found = units.withColumn("value", _surprise(own, "both", of)).filter((F.col("value") >= least) & (F.col(own) * 2 >= F.col("both")))
+            found = units.withColumn("value", _surprise(own, "both", of)).filter((F.col("value") >= least) & (F.col(own) * 5 >= F.col("both") * 4))
             top = found.orderBy(F.desc("value"), "unit").limit(TYPICAL).collect()
-            return [r["unit"] for r in top if r["value"] >= 0.1 * top[0]["value"]][::-1]
+            return [r["unit"] for r in top][::-1]
 
         toxic, ordinary = typical("toxic", share), typical("ordinary", 1 - share)
         common = [r["unit"] for r in units.orderBy(F.desc("both"), "unit").limit(COMMON).collect()][::-1]
