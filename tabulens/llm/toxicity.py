@@ -1,7 +1,7 @@
 """Toxicity by compression distance: one zstandard dictionary for each class, lengths of windows compared.
 
-A dictionary holds the word beginnings that are typical of its class, then the beginnings that both classes use, then a
-fixed tail. Each window of a text is compressed with either; a window that the toxic dictionary shortens by more bytes
+A dictionary holds the word beginnings that are typical of its class, as many as the labelled rows give reason for, then the
+beginnings that both classes use, then a fixed tail. Each window of a text is compressed with either; a window that the toxic dictionary shortens by more bytes
 is evidence. A logistic curve over the strongest windows, fitted on the labelled rows, turns that into a score.
 """
 
@@ -24,10 +24,11 @@ from tabulens.llm.common import BATCH_BYTES, blocks, text_or_empty
 
 #: Labelled rows to learn from, at most: those with the least hash of their id.
 SAMPLE = 20_000
-#: Words in a window, letters of a word at most (longer ones are cut), and lengths of the word beginnings in a dictionary.
-WINDOW, WORD, BEGINNINGS = 3, 64, range(5, 13)
-#: Beginnings in a dictionary: common to both classes, and typical of one.
-COMMON, TYPICAL = 600, 200
+#: Words in a window, letters of a word at most (longer ones are cut), and lengths of the word beginnings in a dictionary,
+#: each with the blank before it; words of SHORT letters count as a whole.
+WINDOW, WORD, BEGINNINGS, SHORT = 3, 64, range(5, 13), 3
+#: Beginnings in a dictionary that both classes use.
+COMMON = 600
 THRESHOLD = 0.3
 #: Stands at the end of each dictionary and window, so that every window is compressed and none is stored.
 TAIL = b"=-_~+^<>[]{}@#|&%$!?0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -47,7 +48,24 @@ def windows(text: str) -> list[bytes]:
 
 
 def beginnings(text: str) -> set[str]:
-    return {w[: k - 1] for w in set(words(text)) for k in BEGINNINGS if len(w) >= k - 1}
+    own = set(words(text))
+    return {w[: k - 1] for w in own for k in BEGINNINGS if len(w) >= k - 1} | {w for w in own if len(w) == SHORT}
+
+
+def outermost(units: list[str]) -> list[str]:
+    """Those that are not the beginning of another one, in their order: a longer one holds the shorter ones."""
+    inner = {u[:k] for u in units for k in range(1, len(u))}
+    return [u for u in units if u not in inner]
+
+
+def contents(toxic: list[str], ordinary: list[str], common: list[str]) -> tuple[bytes, bytes]:
+    """The two dictionaries from beginnings, the strongest first; what is typical is cut nowhere, the shorter side is filled up."""
+    own = [outermost(x) for x in (toxic, ordinary)]
+    shared = [u for u in common if u not in {*toxic, *ordinary}]
+    sides = ["".join(" " + u for u in reversed(x)).encode("utf-8", "surrogatepass") for x in own]
+    width = max(map(len, sides))
+    tail = "".join(" " + u for u in reversed(shared)).encode("utf-8", "surrogatepass") + TAIL
+    return b"=" * (width - len(sides[0])) + sides[0] + tail, b"=" * (width - len(sides[1])) + sides[1] + tail
 
 
 def family(text: str) -> int:
@@ -70,7 +88,8 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        params = zstandard.ZstdCompressionParameters(window_log=15, hash_log=14, chain_log=14, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+        size = max(14, (len(model.toxic) + WINDOW * (WORD + 1) * 4 + len(TAIL)).bit_length())  # all of a dictionary is within reach
+        params = zstandard.ZstdCompressionParameters(window_log=size + 1, hash_log=size, chain_log=size, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.weights = np.array(model.weights)
         self.with_ = []
         for content in (model.toxic, model.ordinary):
@@ -152,18 +171,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         least = math.log(max(2, units.count())) + 2
 
         def typical(own: str, of: float) -> list[str]:
+            """All beginnings that pass the test; there are fewer than the sample has words."""
             found = units.withColumn("value", _surprise(own, "both", of)).filter((F.col("value") >= least) & (F.col(own) * 5 >= F.col("both") * 4))
-            top = found.orderBy(F.desc("value"), "unit").limit(TYPICAL).collect()
-            return [r["unit"] for r in top][::-1]
+            return [r["unit"] for r in found.orderBy(F.desc("value"), "unit").select("unit").collect()]
 
         toxic, ordinary = typical("toxic", share), typical("ordinary", 1 - share)
-        common = [r["unit"] for r in units.orderBy(F.desc("both"), "unit").limit(COMMON).collect()][::-1]
+        common = [r["unit"] for r in units.orderBy(F.desc("both"), "unit").limit(COMMON).collect()]
+        # toxic texts use ordinary words too, so few of these pass unless rows are many: the likeliest others make up as many bytes
+        missing = sum(len(u) + 1 for u in outermost(toxic)) - sum(len(u) + 1 for u in outermost(ordinary))
+        if missing > 0:
+            known = {*ordinary, *common}
+            likely = units.withColumn("value", _surprise("ordinary", "both", 1 - share)).filter("value > 0")
+            for r in likely.orderBy(F.desc("value"), F.desc(F.length("unit")), "unit").limit(len(known) + 12 * missing).collect():
+                u = r["unit"]
+                if missing > 0 and u not in known and not any(x.startswith(u) for x in ordinary):
+                    missing += sum(k + 1 for k in range(1, len(u)) if u[:k] in ordinary and u[:k] not in known) - len(u) - 1
+                    ordinary = [*(x for x in ordinary if x in known or not u.startswith(x)), u]
         units.unpersist()
-        shared = [u for u in common if u not in {*toxic, *ordinary}]
-        own = ["".join(" " + u for u in x).encode() for x in (toxic, ordinary)]
-        width = max(map(len, own))
-        tail = "".join(" " + u for u in shared).encode() + TAIL
-        plain = Model(*(b"=" * (width - len(x)) + x + tail for x in own), ())
+        plain = Model(*contents(toxic, ordinary, common), ())
 
         def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer = Scorer(plain)

@@ -272,6 +272,19 @@ def test_toxicity_on_held_out_rows(spark, empty):
     assert toxicity.windows("x" * 1000) and sum(w.count(b"x") for w in toxicity.windows("x" * 1000)) == 1000
 
 
+def test_toxicity_dictionaries_hold_all_that_is_typical(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    vile, plain = [word() for _ in range(60)], [word() for _ in range(400)]
+    data = [(i, " ".join([*rng.choices(plain, k=40), *(rng.sample(vile, 12) if i % 2 else []), *(["zqx"] if i % 2 else [])]), i % 2) for i in range(500)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t, _ in data], DOCS)
+    model = toxicity.train(docs, spark.createDataFrame([(i, 1, y) for i, _, y in data], "doc_id long, quality int, toxic int"))
+    assert all(f" {w}".encode() in model.toxic and f" {w[:5]}".encode() not in model.ordinary for w in vile)  # 300 beginnings
+    assert b" zqx" in model.toxic
+    own = next(i for i, (a, b) in enumerate(zip(model.toxic[::-1], model.ordinary[::-1], strict=True)) if a != b)
+    assert len(set(model.ordinary[:-own].split())) > 50  # what ordinary texts are likelier to hold, not only filler
+
+
 def test_language_model(docs, empty):
     got = lm_mix.document_scores(docs).collect()
     tokens = lambda t: [*(t or "").encode().lower().split(), b""]
