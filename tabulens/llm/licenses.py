@@ -42,7 +42,8 @@ TEMPLATES = {
 }
 #: Share of a template's words that a block must hold.
 CONTAINMENT = 0.8
-#: Words of a block at most: a longer line is cut into overlapping runs, so that scattered words of a long text don't add up.
+#: Words of a block at most, and words from one block to the next: longer runs are cut into overlapping blocks, so that
+#: scattered words of a long text don't add up.
 BLOCK_WORDS, BLOCK_STEP = 60, 30
 
 #: Lower-cases A-Z and blanks the ASCII signs that are no part of a word; a line feed stays.
@@ -68,6 +69,7 @@ class Templates:
         self.needs = [math.ceil(self.containment * len(s) - 1e-9) for s in self.sets]
         self.vocabulary = {w for s in self.sets for w in s}
         self.members = [set(s) for s in self.sets]
+        self.widths = [len(t.split()) * 3 // 2 for t in self.texts]
         self.index = defaultdict(list)
         for t, s in enumerate(self.sets):
             for i, w in enumerate(s[: len(s) - self.needs[t] + 1]):
@@ -95,17 +97,31 @@ class Templates:
             if n > 0 and (common := len(self.members[t] & block)) >= self.needs[t]:
                 yield t, common / len(self.sets[t])
 
-
-def text_blocks(folded: bytes) -> Iterator[list[bytes]]:
-    """The word lists of a text's blocks: its lines, long ones in overlapping runs."""
-    for line in folded.split(b"\n"):
-        w = line.split()
-        if len(w) <= BLOCK_WORDS:
-            if w:
-                yield w
-        else:
-            for i in range(0, max(1, len(w) - BLOCK_STEP), BLOCK_STEP):
-                yield w[i : i + BLOCK_WORDS]
+    def within(self, t: int, words: list[bytes]) -> float:
+        """The greatest containment of the template in any run of half again as many words as it has."""
+        members, width = self.members[t], self.widths[t]
+        held: Counter[bytes] = Counter()
+        kinds = best = 0
+        for i, w in enumerate(words):
+            if w in members:
+                held[w] += 1
+                kinds += held[w] == 1
+                best = max(best, kinds)
+            if i >= width - 1 and (w := words[i - width + 1]) in members:
+                held[w] -= 1
+                kinds -= held[w] == 0
+        return best / len(members)
+
+
+def text_blocks(folded: bytes) -> Iterator[tuple[list[bytes], bool]]:
+    """The word lists of a text's blocks, and whether they run across lines: its lines, long ones in overlapping runs, then
+    such runs of the whole text. A sentence of up to BLOCK_WORDS - BLOCK_STEP + 1 words lies within one run.
+    """
+    lines = [w for line in folded.split(b"\n") if (w := line.split())]
+    whole = [[w for x in lines for w in x]] if len(lines) > 1 else []
+    for k, line in enumerate([*lines, *whole]):
+        for i in range(0, max(1, len(line) - BLOCK_STEP), BLOCK_STEP) if len(line) > BLOCK_WORDS else (0,):
+            yield line[i : i + BLOCK_WORDS], k == len(lines)
 
 
 def phrase_places(words: list[bytes], phrases: dict[str, str]) -> list[tuple[int, str]]:
@@ -159,9 +175,12 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
                 places = phrase_places(words, phrases)
                 best: dict[int, float] = {}
                 if any(w in folded for w in rare):
-                    for block in text_blocks(folded):
+                    for block, across in text_blocks(folded):
                         for t, share in known.matches(set(block)):
-                            best[t] = max(best.get(t, 0.0), share)
+                            # words of neighbouring lines that have nothing to do with each other don't add up
+                            share = known.within(t, block) if across else share
+                            if share * len(known.sets[t]) > known.needs[t] - 0.5:
+                                best[t] = max(best.get(t, 0.0), share)
                 base = {label for _, label in places}
                 at = [i for i, _ in places]
                 labels = base | {known.labels[t] for t in best}

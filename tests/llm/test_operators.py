@@ -192,6 +192,24 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(empty).collect() == []
 
 
+def test_licenses_across_lines(spark):
+    import textwrap
+
+    made, want = [], []
+    for t, label in licenses.TEMPLATES.items():
+        for lead in (0, 13, 29, 45, 200):
+            words = ["filler"] * lead + t.split() + ["filler"] * 40
+            made.append("\n * ".join(textwrap.wrap(" ".join(words), 35)))
+            want.append(label)
+    made.append("\n".join(f"line {i} of words" for i in range(300)) + "\nredistribution\n" + "x\n" * 80 + "source and binary forms")
+    made.append("und mit einer von den anderen hier\nlicensed under the apache license version 2 0")
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(made)], DOCS)
+    got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    assert got[len(made) - 1]["labels"] == "apache"
+    assert all(label in got[i]["labels"].split(",") and got[i]["score"] == 1 for i, label in enumerate(want))
+    assert got[len(want)]["labels"] == "" and got[len(want)]["score"] == 0
+
+
 def shingles(t, k):
     w = (t or "").encode().lower().split()
     return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
