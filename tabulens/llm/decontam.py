@@ -126,6 +126,8 @@ class Matcher:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, piece: int = PIECE, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, item_id, distance, start_at, end_at): for each document and item the best passage within the item's budget.
 
+    An item is a row of the benchmark: of several texts with one item_id each is searched for and reported under that id,
+    items without an id are reported under null, and rows equal in both count once.
     Positions are in the normalised text. Null, empty and short items (below SHORTEST characters) are found nowhere; null
     and empty texts hold nothing; repeated rows are reported once each. Items go to the tasks in groups of bounded size,
     one pass over the documents for each group.
@@ -133,40 +135,45 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, pi
     schema = pa.schema([(key, pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start_at", pa.int64()), ("end_at", pa.int64())])
     source = docs.select(F.col(key).cast("long").alias(key), text_or_empty(text).alias("text_"))
 
-    def searcher(items: dict[int, str]):
+    def searcher(items: dict[int, str], ids: list[int | None]):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher, out = Matcher(items, budget, piece), Rows(schema)
             for part in blocks(batches, BATCH_BYTES, "text_"):
                 for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     for found in matcher.find(normalise(t)):
-                        yield from out.add((k, *found), 40)
+                        yield from out.add((k, ids[found[0]], *found[1:]), 40)
             yield from out.flush()
 
         return run
 
     kind = f"{key} long, item_id long, distance int, start_at long, end_at long"
-    parts = [source.mapInArrow(searcher(items), kind) for items in _groups(benchmark)] or [source.mapInArrow(searcher({}), kind)]
+    parts = [source.mapInArrow(searcher(*group), kind) for group in _groups(benchmark)] or [source.mapInArrow(searcher({}, []), kind)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
     return out
 
 
-def _groups(benchmark: DataFrame) -> Iterator[dict[int, str]]:
-    """Normalised items in groups of at most GROUP_CHARS characters, read by partition one after another."""
-    items: dict[int, str] = {}
+def _groups(benchmark: DataFrame) -> Iterator[tuple[dict[int, str], list[int | None]]]:
+    """(normalised items by number, item_id of each number) in groups of at most GROUP_CHARS characters, read by partition."""
+    items: dict[tuple[int | None, str], int] = {}
     held = 0
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull()).distinct()
+
+    def group() -> tuple[dict[int, str], list[int | None]]:
+        return {n: t for (_, t), n in items.items()}, [i for i, _ in items]
+
     for r in rows.toLocalIterator():
         t = normalise(r["text"])
+        if (r["item_id"], t) in items:
+            continue
         if items and held + len(t) > GROUP_CHARS:
-            yield items
+            yield group()
             items, held = {}, 0
-        if r["item_id"] not in items or len(items[r["item_id"]]) < len(t):
-            items[r["item_id"]] = t
+        items[r["item_id"], t] = len(items)
         held += len(t)
     if items:
-        yield items
+        yield group()
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, piece: int = PIECE, text: str = "text") -> DataFrame:
@@ -183,6 +190,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET
         return run
 
     out = docs
-    for items in _groups(benchmark):
+    for items, _ in _groups(benchmark):
         out = out.mapInArrow(keeper(items), docs.schema)
     return out

@@ -147,6 +147,16 @@ def test_edit_matching_finds_all_within_the_budget(spark, docs, empty):
     assert decontam.find_leaks(empty, bench).collect() == []
 
 
+def test_items_of_one_id_or_none_are_all_searched_for(spark):
+    rng = random.Random(13)
+    items = [(1, text(rng, 12)), (1, text(rng, 14)), (None, text(rng, 13)), (None, text(rng, 15)), (2, text(rng, 12))]
+    df = spark.createDataFrame([(i, f"{text(rng, 20)} {t} {text(rng, 20)}", None, None, None) for i, (_, t) in enumerate(items)] + [(9, "clean words only", None, None, None)], DOCS)
+    bench = spark.createDataFrame([*items, (1, items[0][1].upper()), items[2]], "item_id long, text string")
+    leaks = [(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(df, bench).collect() if r["distance"] == 0]
+    assert Counter(leaks) == Counter((i, k) for i, (k, _) in enumerate(items))
+    assert [r["doc_id"] for r in decontam.decontaminated(df, bench).collect()] == [9]
+
+
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
