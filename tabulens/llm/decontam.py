@@ -20,8 +20,8 @@ from tabulens.llm.common import BATCH_BYTES, Rows, blocks, text_or_empty
 
 #: Edits allowed for each character of an item, and characters of a piece at least (a shorter item gets a smaller budget).
 BUDGET, PIECE = 0.05, 12
-#: Normalised items that are shorter than this are matched by no passage: they would hit ordinary text.
-SHORTEST = 24
+#: Normalised items that are shorter than this are found between word bounds only, unchanged.
+SHORT = 24
 #: Characters of all items together that may go to every task; beyond, items are dealt out in groups of this size.
 GROUP_CHARS = 4 << 20
 
@@ -40,6 +40,11 @@ def pieces(item: str, budget: float = BUDGET, piece: int = PIECE) -> tuple[int,
     return k, [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _bounded(text: str, a: int, b: int) -> bool:
+    """Whether text[a:b] neither begins nor ends inside a word."""
+    return not (a and text[a - 1].isalnum() and text[a].isalnum()) and not (b < len(text) and text[b].isalnum() and text[b - 1].isalnum())
+
+
 @dataclass
 class Pattern:
     """An item for Myers' algorithm (1999), one bit for each character in Python's unbounded integers."""
@@ -75,12 +80,12 @@ class Pattern:
 class Matcher:
     """All items of a group, searched for in one pass over a text."""
 
-    def __init__(self, items: dict[int, str], budget: float = BUDGET, piece: int = PIECE):
-        self.items = {i: t for i, t in items.items() if len(t) >= SHORTEST}
+    def __init__(self, items: dict[int, str], budget: float = BUDGET, piece: int = PIECE, shortest: int = 1):
+        self.items = {i: t for i, t in items.items() if len(t) >= max(1, shortest)}
         self.budget, self.patterns, self.reversed = {}, {}, {}
         hits: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, t in self.items.items():
-            self.budget[i], parts = pieces(t, budget, piece)
+            self.budget[i], parts = pieces(t, budget, piece) if len(t) >= SHORT else (0, [(0, t)])
             for at, part in parts:
                 hits[part].append((i, at))
         self.search = ahocorasick.Automaton()
@@ -105,6 +110,11 @@ class Matcher:
                 diagonals[i].add(last + 1 - n - at)
         for i, starts in diagonals.items():
             k, m = self.budget[i], len(self.items[i])
+            if m < SHORT:
+                at = next((s for s in sorted(starts) if _bounded(text, s, s + m)), None)
+                if at is not None:
+                    yield i, 0, at, at + m
+                continue
             best: tuple[int, int, int] | None = None
             begin = None
             for s in [*sorted(starts), None]:
@@ -123,13 +133,13 @@ class Matcher:
                 yield i, distance, end - length, end
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, piece: int = PIECE, text: str = "text", key: str = "doc_id") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, piece: int = PIECE, text: str = "text", key: str = "doc_id", shortest: int = 1) -> DataFrame:
     """(key, item_id, distance, start_at, end_at): for each document and item the best passage within the item's budget.
 
     An item is a row of the benchmark: of several texts with one item_id each is searched for and reported under that id,
     items without an id are reported under null, and rows equal in both count once.
-    Positions are in the normalised text. Null, empty and short items (below SHORTEST characters) are found nowhere; null
-    and empty texts hold nothing; repeated rows are reported once each. Items go to the tasks in groups of bounded size,
+    Positions are in the normalised text. Null and empty items, and those of less than ``shortest`` characters, are
+    found nowhere; items below SHORT characters only unchanged and as whole words. Null and empty texts hold nothing; repeated rows are reported once each. Items go to the tasks in groups of bounded size,
     one pass over the documents for each group.
     """
     schema = pa.schema([(key, pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start_at", pa.int64()), ("end_at", pa.int64())])
@@ -137,7 +147,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, pi
 
     def searcher(items: dict[int, str], ids: list[int | None]):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher, out = Matcher(items, budget, piece), Rows(schema)
+            matcher, out = Matcher(items, budget, piece, shortest), Rows(schema)
             for part in blocks(batches, BATCH_BYTES, "text_"):
                 for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     for found in matcher.find(normalise(t)):
@@ -176,13 +186,13 @@ def _groups(benchmark: DataFrame) -> Iterator[tuple[dict[int, str], list[int | N
         yield group()
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, piece: int = PIECE, text: str = "text") -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, piece: int = PIECE, text: str = "text", shortest: int = 1) -> DataFrame:
     """The rows of ``docs``, with all columns, whose text holds no passage within an item's budget; nothing is moved."""
     place = docs.columns.index(text)
 
     def keeper(items: dict[int, str]):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, budget, piece)
+            matcher = Matcher(items, budget, piece, shortest)
             for rows in blocks(batches, BATCH_BYTES, text):
                 clean = [next(matcher.find(normalise(t)), None) is None for t in rows.column(place).to_pylist()]
                 yield rows.filter(pa.array(clean, pa.bool_()))

@@ -157,6 +157,15 @@ def test_items_of_one_id_or_none_are_all_searched_for(spark):
     assert [r["doc_id"] for r in decontam.decontaminated(df, bench).collect()] == [9]
 
 
+def test_short_items_are_found_as_whole_words(spark):
+    bench = spark.createDataFrame([(1, "What is 7 x 8?"), (2, "Paris"), (3, " "), (4, "no such")], "item_id long, text string")
+    made = ["Q: what is\n7 x 8? A: 56", "comparison of Parisians", "comparis paris, x", "what is 7 x 9?", "paris"]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(made)], DOCS)
+    assert sorted(tuple(r) for r in decontam.find_leaks(df, bench).collect()) == [(0, 1, 0, 3, 17), (2, 2, 0, 9, 14), (4, 2, 0, 0, 5)]
+    assert sorted(r["doc_id"] for r in decontam.decontaminated(df, bench).collect()) == [1, 3]
+    assert sorted(r["doc_id"] for r in decontam.decontaminated(df, bench, shortest=10).collect()) == [1, 2, 3, 4]
+
+
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
