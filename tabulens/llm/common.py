@@ -16,25 +16,49 @@ from pyspark.sql import functions as F
 #: Bytes of payload that an operator puts into one Arrow batch or one block of documents.
 BATCH_BYTES = 4 << 20
 
+#: Session settings that bound what a task holds at once, with what Spark has by itself and what stands here:
+#: bytes of an Arrow batch beside the count of its rows, and of a row group while a Parquet file is written.
+BOUNDS = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(2 * BATCH_BYTES)), "parquet.block.size": (None, str(16 << 20))}
+
 _made: dict[str, str] = {}
 _count = itertools.count()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table below ``sf_dir``, which may be a path of any file system Spark reads."""
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def bounded(spark: SparkSession) -> None:
+    """Sets BOUNDS where they have the value that Spark comes with, so that an application's own choice stays."""
+    for key, (default, value) in BOUNDS.items():
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, value)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have, made of ``names``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        own = next(n for n in itertools.chain([f"_{name}"], (f"_{name}_{i}" for i in itertools.count())) if n.lower() not in taken)
+        taken.add(own.lower())
+        out.append(own)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``.
+    """A folder of this application below ``spark.checkpoint.dir``, removed when the driver ends.
 
-    Only where that setting is absent (tests, a local session) a temporary local folder stands in.
-    The folder is removed when the driver ends.
+    Only in a local session without that setting (tests) a temporary local folder stands in; on a cluster, whose
+    executors would not see it, its absence is an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _made:
         top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not top:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             top = f"file://{tempfile.mkdtemp(prefix='tabulens-')}"
         _made[app] = f"{top.rstrip('/')}/tabulens-{uuid.uuid4().hex[:12]}"
         atexit.register(_drop, spark, _made[app])
@@ -111,3 +135,30 @@ def blocks(batches: Iterable[pa.RecordBatch], limit: int, text: str = "text") ->
             yield batch.slice(start)
 
 
+def merged_blocks(batches: Iterable[pa.RecordBatch], limit: int, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """``blocks``, but of several batches where one holds less than ``limit`` bytes of text."""
+    held, size = [], 0
+    for part in blocks(batches, limit, text):
+        own = pa.compute.sum(pa.compute.binary_length(part.column(text))).as_py() or 0
+        if held and size + own > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(part)
+        size += own
+    if held:
+        yield pa.concat_batches(held)
+
+
+def owner_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of ``n`` partitions a number that Spark's hash partitioning deals to it, so that owners meet in none of them."""
+    if n not in _owner_keys:
+        place = F.pmod(F.hash("id"), F.lit(n))
+        rows, size = [], 8 * n
+        while len(rows) < n:  # numbers scatter, so a few times n are enough
+            size *= 2
+            rows = spark.range(size, numPartitions=1).groupBy(place.alias("p")).agg(F.min("id").alias("id")).orderBy("p").collect()
+        _owner_keys[n] = [r["id"] for r in rows]
+    return _owner_keys[n]
+
+
+_owner_keys: dict[int, list[int]] = {}
