@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import partitions, text_or_empty, written
+from tabulens.llm.common import bounded, fresh, partitions, text_or_empty, written
 
 
 @dataclass(frozen=True)
@@ -18,15 +18,51 @@ class Dimension:
     cell: Column
 
 
-def hashed(column: str, bits: int) -> Column:
-    """A label column as a cell: labels that differ mostly differ; null is 0."""
-    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(0)).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+#: Labels up to this number are sent to every task with their cells; more are joined by a shuffle.
+FEW_LABELS = 10_000
+#: Fine steps of a size for each doubling, and of all sizes; their counts are what equally full cells are made of.
+STEPS, SIZES = 16, 1024
 
 
-def by_log(column: Column, bits: int) -> Column:
-    """A size as a cell: four steps for each doubling, the last one open."""
-    step = F.floor(F.log2(F.coalesce(column, F.lit(0)).cast("double") + F.lit(1.0)) * F.lit(4.0))
-    return F.least(F.greatest(step, F.lit(0)), F.lit((1 << bits) - 1)).cast("int")
+def label_cells(df: DataFrame, column: str, bits: int, to: str) -> DataFrame:
+    """``df`` with ``to``, the cell of a label column: labels in their order, null before all others.
+
+    Up to 2**bits labels get cells of their own, spread over the range; more are cut into runs of neighbours with about as
+    many rows each. Labels are ranked by a range partitioning and offsets, so their number has no bound.
+    """
+    key, n, part, at, before, cell = fresh(df, "key", "n", "part", "at", "before", "cell")
+    keyed = df.withColumn(key, F.coalesce(F.concat(F.lit("1"), F.col(column).cast("string")), F.lit("0")))
+    counts = keyed.groupBy(key).agg(F.count(F.lit(1)).alias(n)).repartitionByRange(partitions(df), key).sortWithinPartitions(key)
+    counts = written(counts.withColumn(at, F.monotonically_increasing_id()), "labels").withColumn(part, F.shiftright(at, 33))
+    sums = counts.groupBy(part).agg(F.sum(n).alias("rows"), F.count(F.lit(1)).alias("kinds"))
+    # one row for each shuffle partition
+    over = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(part, F.coalesce(F.sum("rows").over(over), F.lit(0)).alias("rows"), F.coalesce(F.sum("kinds").over(over), F.lit(0)).alias("kinds"))
+    total = sums.agg(F.sum("rows").alias("rows"), F.sum("kinds").alias("kinds")).first()
+    rows, kinds = total["rows"] or 0, total["kinds"] or 0
+    ranked = counts.join(F.broadcast(offsets), part)
+    if kinds <= 1 << bits:
+        place = F.expr(f"(kinds + ({at} & {(1 << 33) - 1}L)) * {1 << bits} div {max(1, kinds)}")
+    else:
+        before_ = F.sum(n).over(Window.partitionBy(part).orderBy(at)) - F.col(n) + F.col("rows")
+        place = F.floor((before_.cast("double") + F.col(n) / 2) * (1 << bits) / max(1, rows))
+    cells = ranked.select(key, F.least(place, F.lit((1 << bits) - 1)).cast("int").alias(to))
+    return keyed.join(F.broadcast(cells) if kinds <= FEW_LABELS else cells, key).drop(key)
+
+
+def size_cells(df: DataFrame, column: str, bits: int, to: str) -> DataFrame:
+    """``df`` with ``to``, the cell of a size: runs of fine steps, STEPS for each doubling, with about as many rows each.
+
+    Null and negative sizes count as 0. As many counts as there are fine steps reach the driver.
+    """
+    fine = F.least(F.floor(F.log2(F.greatest(F.coalesce(F.col(column), F.lit(0)), F.lit(0)).cast("double") + F.lit(1.0)) * F.lit(STEPS)), F.lit(SIZES - 1)).cast("int")
+    counts = {r["f"]: r["n"] for r in df.groupBy(fine.alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total, seen, cells = sum(counts.values()), 0, []
+    for f in range(SIZES):
+        n = counts.get(f, 0)
+        cells.append(min((1 << bits) - 1, int((seen + n / 2) * (1 << bits) / max(1, total))))
+        seen += n
+    return df.withColumn(to, F.get(F.array(*map(F.lit, cells)), fine))
 
 
 def curve_states(n: int) -> tuple[list[int], int]:
@@ -90,24 +126,23 @@ def hilbert_shards(df: DataFrame, dims: list[Dimension], bits: int, n_shards: in
     apart) are the shards, so a shard covers few cells and its files have narrow minima and maxima in every dimension.
     The order is found by a range partitioning on curve index and ties, which also divides a cell that holds a third
     of all rows; a window sees one row for each partition only. ``df`` should hold metadata alone, as all of its
-    columns are moved. Rows equal in all sort columns get their places in any order. An empty table gives no rows.
+    columns are moved; its columns curve, shard and slot are replaced. Rows equal in all sort columns get their places in any order. An empty table gives no rows.
     """
-    spark = df.sparkSession
     placed = df.withColumn("curve", hilbert_index([d.cell for d in dims], bits))
+    id_, part, rows, before, rank = fresh(placed, "id", "part", "rows", "before", "rank")
     keys = ["curve", *tie]
     sorted_ = placed.repartitionByRange(partitions(df), *keys).sortWithinPartitions(*keys)
     # the id holds the partition's number above its 33 low bits, and the row's place in it below
-    numbered = written(sorted_.withColumn("_id", F.monotonically_increasing_id()), "curve")
-    low = F.lit((1 << 33) - 1)
-    counts = numbered.groupBy(F.shiftright("_id", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
-    offsets = counts.select("_part", (F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
+    numbered = written(sorted_.withColumn(id_, F.monotonically_increasing_id()), "curve")
+    counts = numbered.groupBy(F.shiftright(id_, 33).alias(part)).agg(F.count(F.lit(1)).alias(rows))
+    offsets = counts.select(part, (F.sum(rows).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))).alias(before))
     total = numbered.count()  # from the footers of the written table
     # one row for each shuffle partition: bounded by the setting of that name
-    joined = numbered.withColumn("_part", F.shiftright("_id", 33)).join(F.broadcast(offsets), "_part")
-    rank = F.coalesce(F.col("_before"), F.lit(0)) + F.col("_id").bitwiseAND(low)
-    shard = F.expr(f"_rank * {n_shards}L div {max(1, total)}L")
+    joined = numbered.withColumn(part, F.shiftright(id_, 33)).join(F.broadcast(offsets), part)
+    place = F.coalesce(F.col(before), F.lit(0)) + F.col(id_).bitwiseAND(F.lit((1 << 33) - 1))
+    shard = F.expr(f"`{rank}` * {n_shards}L div {max(1, total)}L")
     first = F.expr(f"(shard * {max(1, total)}L + {n_shards - 1}L) div {n_shards}L")
-    return joined.withColumn("_rank", rank).withColumn("shard", shard.cast("int")).withColumn("slot", F.col("_rank") - first).drop("_part", "_before", "_id", "_rank")
+    return joined.withColumn(rank, place).withColumn("shard", shard.cast("int")).withColumn("slot", F.col(rank) - first).drop(part, before, id_, rank)
 
 
 def pruning_table(sharded: DataFrame, columns: list[str]) -> DataFrame:
@@ -116,29 +151,37 @@ def pruning_table(sharded: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def write_shards(sharded: DataFrame, path: str, sort: list[str]) -> None:
-    """One folder of files for each shard, each sorted, so that footers prune by any of the dimensions."""
-    sharded.repartition("shard").sortWithinPartitions("shard", *sort).write.partitionBy("shard").parquet(path)
+    """One folder of files for each shard, each sorted, so that footers prune by any of the dimensions.
+
+    Shards are ranges of the curve with equal counts, so none is hot; each is dealt to one task.
+    """
+    sharded.repartitionByRange("shard").sortWithinPartitions("shard", *sort).write.partitionBy("shard").parquet(path)
 
 
 #: Bits of each dimension in the query: 3 dimensions of 32 cells.
 BITS = 5
 
 
+def document_metadata(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, lang, source of every row, with the cells of the last two and of the size."""
+    bounded(docs.sparkSession)
+    text = text_or_empty()
+    own = {c.lower() for c in docs.columns}
+    labels = [(F.col(c) if c in own else F.lit(None)).cast("string").alias(c) for c in ("lang", "source")]
+    meta = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(16)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *labels)
+    meta = written(meta, "meta")
+    meta = label_cells(label_cells(meta, "lang", BITS, "lang_cell"), "source", BITS, "source_cell")
+    return size_cells(meta, "size", BITS, "size_cell")
+
+
 def document_shards(docs: DataFrame, n_shards: int) -> DataFrame:
     """Documents by language, source and length along the curve.
 
-    Returns doc_id, size (UTF-8 bytes + 16), text_crc32, law (``rows``), shard, slot, grown_shard (null), curve.
-    A null text counts as empty; null labels fall into cell 0.
+    Returns doc_id, size (UTF-8 bytes + 16), text_crc32, law (``rows``), shard, slot, grown_shard (null), curve, and the
+    three metadata columns' cells. A null text counts as empty, null labels stand before all others; repeated rows each
+    get a place; columns of ``docs`` but doc_id, text, lang and source play no part, whatever their names. An empty table
+    gives no rows.
     """
-    text = text_or_empty()
-    meta = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + F.lit(16)).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        hashed("lang", BITS).alias("_lang"),
-        hashed("source", BITS).alias("_source"),
-    )
-    meta = written(meta.withColumn("_length", by_log(F.col("size"), BITS)), "meta")
-    dims = [Dimension(c, F.col(c)) for c in ("_lang", "_source", "_length")]
-    out = hilbert_shards(meta, dims, BITS, n_shards, ["doc_id", "text_crc32", "size"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+    dims = [Dimension(c, F.col(c)) for c in ("lang_cell", "source_cell", "size_cell")]
+    out = hilbert_shards(document_metadata(docs), dims, BITS, n_shards, ["doc_id", "text_crc32", "size"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve", "lang_cell", "source_cell", "size_cell")
