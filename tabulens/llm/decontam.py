@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import BATCH_BYTES, Rows, blocks, text_or_empty
+from tabulens.llm.common import BATCH_BYTES, Rows, blocks, bounded, text_or_empty, written
 
-#: Edits allowed for each character of an item, and characters of a piece at least (a shorter item gets a smaller budget).
+#: Edits allowed for each character of an item, and characters of a piece at least. Pieces would be shorter, and the budget
+#: therefore smaller, only for items below SHORT characters, which are held to no edits at all.
 BUDGET, PIECE = 0.05, 12
 #: Normalised items that are shorter than this are found between word bounds only, unchanged.
 SHORT = 24
@@ -139,9 +140,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, pi
     An item is a row of the benchmark: of several texts with one item_id each is searched for and reported under that id,
     items without an id are reported under null, and rows equal in both count once.
     Positions are in the normalised text. Null and empty items, and those of less than ``shortest`` characters, are
-    found nowhere; items below SHORT characters only unchanged and as whole words. Null and empty texts hold nothing; repeated rows are reported once each. Items go to the tasks in groups of bounded size,
-    one pass over the documents for each group.
+    found nowhere; items below SHORT characters only unchanged and as whole words. Null and empty texts hold nothing;
+    repeated rows are reported once each; other columns of ``docs`` and ``benchmark`` play no part. Items go to the tasks
+    in groups of bounded size, one pass over the documents for each group: the driver holds one group at a time, and the
+    results of all but a single group are written as they come.
     """
+    bounded(docs.sparkSession)
     schema = pa.schema([(key, pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start_at", pa.int64()), ("end_at", pa.int64())])
     source = docs.select(F.col(key).cast("long").alias(key), text_or_empty(text).alias("text_"))
 
@@ -157,11 +161,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, pi
         return run
 
     kind = f"{key} long, item_id long, distance int, start_at long, end_at long"
-    parts = [source.mapInArrow(searcher(*group), kind) for group in _groups(benchmark)] or [source.mapInArrow(searcher({}, []), kind)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+    out = None
+    for group, last in _last_marked(_groups(benchmark)):
+        found = source.mapInArrow(searcher(*group), kind)
+        found = found if last and out is None else written(found, "leaks")
+        out = found if out is None else out.unionAll(found)
+    return source.mapInArrow(searcher({}, []), kind) if out is None else out
+
+
+def _last_marked(items: Iterable) -> Iterator[tuple]:
+    """(item, whether it is the last one)."""
+    before = None
+    for x in items:
+        if before is not None:
+            yield before, False
+        before = x
+    if before is not None:
+        yield before, True
 
 
 def _groups(benchmark: DataFrame) -> Iterator[tuple[dict[int, str], list[int | None]]]:
@@ -187,7 +203,12 @@ def _groups(benchmark: DataFrame) -> Iterator[tuple[dict[int, str], list[int | N
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, piece: int = PIECE, text: str = "text", shortest: int = 1) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose text holds no passage within an item's budget; nothing is moved."""
+    """The rows of ``docs``, with all columns whatever their names, whose text holds no passage within an item's budget.
+
+    Null and empty texts stay, repeated rows are decided alike. Nothing is moved; between groups of items the rows that
+    are left are written.
+    """
+    bounded(docs.sparkSession)
     place = docs.columns.index(text)
 
     def keeper(items: dict[int, str]):
@@ -200,6 +221,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET
         return run
 
     out = docs
-    for items, _ in _groups(benchmark):
+    for (items, _), last in _last_marked(_groups(benchmark)):
         out = out.mapInArrow(keeper(items), docs.schema)
+        out = out if last else written(out, "clean")
     return out
