@@ -22,9 +22,10 @@ _READ = r"^(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)"
 
 
 def present(spec: ColumnSpec) -> Column:
-    """Not null and, for text, not blank."""
+    """Not null, for text not blank, and none of the contract's null markers."""
     c = col(spec.name)
-    return c.isNotNull() & (F.trim(c) != "") if spec.is_text else c.isNotNull()
+    ok = c.isNotNull() & (F.trim(c) != "") if spec.is_text else c.isNotNull()
+    return ok & ~F.trim(c.cast("string")).isin(*spec.null_markers) if spec.null_markers else ok
 
 
 def looks_numeric(t: Column) -> Column:
@@ -36,10 +37,14 @@ def as_number(t: Column) -> Column:
     return F.when(looks_numeric(t), t.try_cast("double"))
 
 
-def as_moment(t: Column) -> Column:
-    """A trimmed text as a timestamp without zone, null where it has no date's shape or no such day exists."""
+def as_moment(t: Column, hint: str | None = None) -> Column:
+    """A trimmed text as a timestamp without zone, null where it has no date's shape or no such day exists.
+
+    ``hint``: a date pattern by which a text is read that has not the usual shape.
+    """
     stamped = F.regexp_replace(F.regexp_extract(t, _READ, 1), "T", " ").try_cast("timestamp_ntz")
-    return F.when(t.rlike(DATE), t.try_cast("timestamp_ntz")).when(t.rlike(MOMENT), stamped)
+    usual = F.when(t.rlike(DATE), t.try_cast("timestamp_ntz")).when(t.rlike(MOMENT), stamped)
+    return F.coalesce(usual, F.try_to_timestamp(t, F.lit(hint)).cast("timestamp_ntz")) if hint else usual
 
 
 def as_boolean(t: Column, digits: bool = True) -> Column:
@@ -53,6 +58,7 @@ def read(spec: ColumnSpec) -> Column:
     """The value of a column in its logical type: double, text, boolean or timestamp without zone."""
     c = col(spec.name)
     if not spec.is_text:
+        c = F.when(present(spec), c) if spec.null_markers else c
         if spec.logical == Logical.NUMERICAL:
             return c.cast("double")
         return c.cast("timestamp_ntz") if spec.logical == Logical.DATE else c
@@ -62,7 +68,7 @@ def read(spec: ColumnSpec) -> Column:
     if spec.logical == Logical.NUMERICAL:
         return as_number(t)
     if spec.logical == Logical.DATE:
-        return as_moment(t)
+        return as_moment(t, spec.format_hint)
     return as_boolean(t) if spec.logical == Logical.BOOLEAN else t
 
 
@@ -73,5 +79,5 @@ def conforms(spec: ColumnSpec, logical: Logical) -> Column:
     if not spec.is_text:
         return present(spec) & F.lit(spec.logical == logical)
     t = F.trim(col(spec.name))
-    value = {Logical.NUMERICAL: as_number, Logical.DATE: as_moment, Logical.BOOLEAN: lambda x: as_boolean(x, False)}[logical](t)
+    value = {Logical.NUMERICAL: as_number, Logical.DATE: lambda x: as_moment(x, spec.format_hint), Logical.BOOLEAN: lambda x: as_boolean(x, False)}[logical](t)
     return present(spec) & value.isNotNull()

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulens.functions.shape import present, read
+from tabulens.operators.quantiles import at_ranks, quantile_values, ranked_curve
 from tabulens.operators.registry import Parameter, tool
 from tabulens.operators.stats import column_statistics
 from tabulens.types import ROW_ID, ColumnSpec, Logical, Relation, Result, TabulensError, col
@@ -43,7 +44,8 @@ def moments(r: Relation, name: str) -> DataFrame:
     """Mean, median, mode (the most frequent, then the smallest), deviation, variance, and bias-corrected skewness and excess kurtosis."""
     v = values(r, name)
     x, n = F.col("v"), F.col("n").cast("double")
-    made = v.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_samp(x).alias("std"), F.var_samp(x).alias("variance"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"), F.min(x).alias("minimum"), F.max(x).alias("maximum"))
+    median = quantile_values(v, [0.5])[1][0]
+    made = v.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.lit(median).cast("double").alias("median"), F.stddev_samp(x).alias("std"), F.var_samp(x).alias("variance"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"), F.min(x).alias("minimum"), F.max(x).alias("maximum"))
     mode = v.groupBy("v").agg(F.count(F.lit(1)).alias("k")).agg(F.max_by("v", F.struct(F.col("k"), -F.col("v"))).alias("mode"))
     varied = F.col("variance") > 0
     skew = F.when((n > 2) & varied, F.col("g1") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
@@ -53,18 +55,27 @@ def moments(r: Relation, name: str) -> DataFrame:
 
 
 def quantiles(r: Relation, name: str, at: tuple[float, ...] = QUANTILES) -> DataFrame:
-    made = values(r, name).agg(F.percentile("v", F.array(*map(F.lit, at))).alias("q"))
-    return made.select(F.explode(F.arrays_zip(F.array(*map(F.lit, at)).alias("q"), F.col("q").alias("value"))).alias("e")).select("e.*").toDF("q", "value")
+    """(q, value): exact quantiles; none of a column without numbers."""
+    n, found = quantile_values(values(r, name), at)
+    return r.df.sparkSession.createDataFrame(list(zip(at, found, strict=True)) if n else [], "q double, value double")
 
 
 def ecdf(r: Relation, name: str) -> DataFrame:
     return quantiles(r, name, tuple(i / 100 for i in range(101))).toDF("p", "value")
 
 
+def ecdf_at(r: Relation, name: str, points: list[float]) -> DataFrame:
+    """(x, share): for each point the share of values that are not above it, in one pass."""
+    x = F.col("v")
+    made = values(r, name).agg(F.count(x).alias("n"), *[F.count_if(x <= p).alias(f"c{i}") for i, p in enumerate(points)])
+    cells = F.array(*[F.struct(F.lit(float(p)).alias("x"), (F.col(f"c{i}") / F.nullif(F.col("n"), F.lit(0))).alias("share")) for i, p in enumerate(points)])
+    return made.select(F.explode(cells).alias("e")).select("e.*")
+
+
 def fence(r: Relation, name: str, k: float = FENCE, lower: float | None = None, upper: float | None = None) -> DataFrame:
     """Quartiles, fences, counts beyond them, and whiskers: the extreme values inside."""
     v = values(r, name)
-    q1, q3 = v.agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()["q"] or (None, None)
+    q1, q3 = quantile_values(v, [0.25, 0.75])[1]
     if q1 is None:
         raise TabulensError(f"{name} has no numbers")
     low = q1 - k * (q3 - q1) if lower is None else lower
@@ -104,12 +115,6 @@ def length_histogram(r: Relation, name: str, n_bins: int = 20) -> DataFrame:
     return histogram(texts(r, name).select(F.length("v").cast("double").alias("v")), n_bins, True)
 
 
-def ranked(counted: DataFrame) -> DataFrame:
-    """(v, n) with rank and cumulative count; the window sees one row for each distinct value."""
-    w = Window.orderBy(F.desc("n"), F.asc("v"))
-    return counted.select("v", "n", F.row_number().over(w).cast("bigint").alias("rank"), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"))
-
-
 def top_values(r: Relation, name: str, k: int = 10) -> DataFrame:
     return texts(r, name).groupBy(F.col("v").alias("value")).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "value").limit(k)
 
@@ -122,30 +127,32 @@ def remainder(r: Relation, name: str, k: int = 10) -> DataFrame:
     return every.crossJoin(F.broadcast(top)).select((F.col("all") - F.col("t")).alias("others_count"), (F.col("distinct") - F.col("d")).alias("others_distinct"), "rare_categories")
 
 
-def thinned(curve: DataFrame, most: int = 120, head: int = 50) -> DataFrame:
+def thinned(last: int, most: int = 120, head: int = 50) -> list[int]:
     """The first ranks, then every so many, and the last."""
-    last = curve.count()
     step = max(1, math.ceil(max(0, last - head) / (most - head)))
-    return curve.filter((F.col("rank") <= head) | (F.col("rank") % step == 0) | (F.col("rank") == last))
+    return sorted({*range(1, min(head, last) + 1), *range(step, last + 1, step), *([last] if last else [])})
 
 
 def concentration(r: Relation, name: str) -> DataFrame:
-    curve = ranked(texts(r, name).groupBy("v").agg(F.count(F.lit(1)).alias("n")))
-    return _shares(curve)
+    return _shares(texts(r, name).groupBy("v").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _shares(curve: DataFrame) -> DataFrame:
-    total = curve.agg(F.max("cum").alias("t")).first()["t"] or 1
-    return thinned(curve).select("rank", (F.col("cum") / F.lit(total)).alias("share"))
+def _shares(counted: DataFrame) -> DataFrame:
+    """(rank, share): how much of all rows the most frequent values have, up to some ranks."""
+    total, curve = ranked_curve(counted, thinned)
+    return counted.sparkSession.createDataFrame([(k, n / total) for k, n in curve], "rank bigint, share double")
 
 
-def rug(r: Relation, name: str) -> DataFrame:
-    """Distinct numbers with counts, at most about RUG of them by a fixed stride, the last one always."""
+def rug(r: Relation, name: str, most: int = RUG) -> DataFrame:
+    """Distinct numbers with counts, at most about ``most`` of them by a fixed stride, the last one always."""
     counted = values(r, name).groupBy(F.col("v").alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    distinct = counted.count()
-    stride = max(1, math.ceil(distinct / RUG))
-    i = F.row_number().over(Window.orderBy("value"))
-    return counted.withColumn("i", i).filter(((F.col("i") - 1) % stride == 0) | (F.col("i") == distinct)).select("value", "count")
+    b = counted.agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).first()
+    stride = max(1, math.ceil(b["n"] / most))
+    if stride == 1:
+        return counted
+    kept = at_ranks(counted, [*range(0, b["n"], stride), b["n"] - 1], (b["lo"], b["hi"]), "value")
+    # about ``most`` values, whose rows are counted again
+    return counted.filter(F.col("value").isin(sorted(set(kept.values()))))
 
 
 def extremes(r: Relation, name: str, k: int = 5) -> DataFrame:
@@ -173,7 +180,10 @@ def tokens(c: Column) -> Column:
 def terms(r: Relation, name: str, width: int = 1) -> DataFrame:
     """(v, n): word n-grams of a text column."""
     t = texts(r, name).select(tokens(F.col("v")).alias("t")).filter(F.size("t") >= width)
-    grams = F.col("t") if width == 1 else F.transform(F.sequence(F.lit(1), F.size("t") - (width - 1)), lambda i: F.array_join(F.slice(F.col("t"), i, width), " "))
+    grams, n = F.col("t"), F.size("t")
+    for i in range(1, width):
+        # each gram that has a word after it, and that word
+        grams = F.zip_with(F.slice(grams, F.lit(1), n - i), F.slice(F.col("t"), F.lit(i + 1), n - i), lambda a, b: F.concat(a, F.lit(" "), b))
     return t.select(F.explode(grams).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -186,16 +196,18 @@ def token_totals(r: Relation, name: str) -> DataFrame:
 
 
 def vocabulary(r: Relation, name: str) -> DataFrame:
-    return _shares(ranked(terms(r, name)))
+    return _shares(terms(r, name))
 
 
 def text_composition(r: Relation, name: str) -> DataFrame:
     """Lengths, words, and the shares of texts with digits, punctuation, links, line feeds, and so on."""
     v = F.col("v")
-    n, w = F.length(v), F.size(tokens(v))
+    n, w = F.col("n_"), F.col("w_")
     tests = {"share_digits": v.rlike("[0-9]"), "share_punctuation": v.rlike(r"[!-/:-@\[-`{-~]"), "share_url": v.rlike(r"https?://|www\."), "share_upper": (F.upper(v) == v) & v.rlike("[A-Za-z]"), "share_non_ascii": F.octet_length(v) != n, "share_multiline": v.contains("\n"), "share_multiword": w > 1, "share_numeric": v.rlike(r"^[0-9]+\z")}
     numbers = [f(x).cast("double").alias(f"{p}_{q}") for p, x in (("length", n), ("words", w)) for f, q in ((F.min, "min"), (F.median, "median"), (F.avg, "mean"), (F.max, "max"))]
-    return texts(r, name).agg(F.count(v).alias("n"), *numbers, *[F.avg(F.when(t, 1.0).otherwise(0.0)).alias(k) for k, t in tests.items()])
+    # lengths and words are found once for each text
+    rows = texts(r, name).select("v", F.length("v").alias("n_"), F.size(tokens(v)).alias("w_"))
+    return rows.agg(F.count(v).alias("n"), *numbers, *[F.avg(F.when(t, 1.0).otherwise(0.0)).alias(k) for k, t in tests.items()])
 
 
 def date_summary(r: Relation, name: str) -> DataFrame:
@@ -230,6 +242,17 @@ def cycle(r: Relation, name: str, part: str) -> DataFrame:
     return filled(counts, "key", r.df.sparkSession.range(domain.start, domain.stop).toDF("key"))
 
 
+def heat_grid(r: Relation, name: str) -> DataFrame:
+    """(key, week, row, count, level): days in columns of weeks, Monday first; levels 1 to 4 by quarters of the largest count, 0 for none."""
+    days = calendar(r, name, "day").withColumn("d", F.to_date("key"))
+    b = days.agg(F.min("d").alias("first"), F.greatest(F.max("count"), F.lit(1)).alias("top")).first()
+    if b["first"] is None:
+        return days.select("key", F.lit(0).cast("bigint").alias("week"), F.lit(0).alias("row"), "count", F.lit(0).cast("bigint").alias("level"))
+    place = F.datediff("d", F.lit(b["first"])) + b["first"].weekday()
+    level = F.least(F.ceil(F.col("count") / F.lit(b["top"]) * 4), F.lit(4))
+    return days.select("key", F.floor(place / 7).alias("week"), (place % 7).alias("row"), "count", level.alias("level"))
+
+
 def boolean_counts(r: Relation, name: str) -> DataFrame:
     x = read(r[name])
     return r.df.agg(F.count_if(x).alias("true_count"), F.count_if(~x).alias("false_count"), F.count_if(present(r[name]) & x.isNull()).alias("other_count"))

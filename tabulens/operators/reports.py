@@ -180,7 +180,21 @@ def crosstab(r: Relation, a: str, b: str, normalize: str) -> Result:
     value = {"none": F.col("count").cast("double"), "row": F.col("row_share"), "column": F.col("column_share"), "all": F.col("total_share")}[normalize]
     made = made.withColumn("value", value)
     n = r.df.agg(F.count_if(present(r[a]) & present(r[b])).alias("counted"), F.count_if(~(present(r[a]) & present(r[b]))).alias("incomplete")).first()
-    return Result("matrix", table=made, values={"cells": [x.asDict() for x in made.orderBy("row", "column").collect()], **n.asDict()})
+    levels = distinct_levels(r, a, b).first()
+    return Result("matrix", table=made, values={"cells": [x.asDict() for x in made.orderBy("row", "column").collect()], **n.asDict(), **levels.asDict()})
+
+
+def pivoted(r: Relation, a: str, b: str, levels: int = LEGEND) -> DataFrame:
+    """A crosstab as a grid: a row for each level of ``a``, a column for each of the most frequent levels of ``b``."""
+    cells = crosstab_counts(r, a, b, levels)
+    heads = [x["column"] for x in cells.select("column").distinct().orderBy("column").collect()]
+    return cells.groupBy("row").pivot("column", heads).agg(F.first("count"))
+
+
+def distinct_levels(r: Relation, a: str, b: str) -> DataFrame:
+    """(row_levels, column_levels) among complete pairs, before a crosstab cuts them."""
+    both = r.df.filter(present(r[a]) & present(r[b]))
+    return both.agg(F.count_distinct(_axis(r, a)).alias("row_levels"), F.count_distinct(_axis(r, b)).alias("column_levels"))
 
 
 _VEGA = {Logical.NUMERICAL: "quantitative", Logical.DATE: "temporal"}

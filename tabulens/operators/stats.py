@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +39,11 @@ def column_statistics(r: Relation) -> DataFrame:
     names = [*STATISTICS[:2], *STATISTICS[3:]]
     cells = [F.struct(F.lit(s.ordinal).alias("ordinal"), F.lit(s.name).alias("name"), *[F.coalesce(x, F.lit(0)).cast("bigint").alias(n) for n, x in zip(names, [F.col("t"), *[F.col(f"c{s.ordinal}_{i}") for i in range(5)]], strict=True)]) for s in specs]
     long = wide.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
-    values = r.df.select(F.explode(F.array(*[F.struct(F.lit(s.ordinal).alias("ordinal"), F.when(present(s), col(s.name).cast("string")).alias("v")) for s in specs])).alias("e")).select("e.*").filter("v is not null")
+    def short(s: ColumnSpec) -> Column:
+        v = col(s.name).cast("string")
+        return F.when(F.length(v) > 24, F.md5(v)).otherwise(v) if s.is_text else v  # a digest is longer than what stands for itself
+
+    values = r.df.select(F.explode(F.array(*[F.struct(F.lit(s.ordinal).alias("ordinal"), F.when(present(s), short(s)).alias("v")) for s in specs])).alias("e")).select("e.*").filter("v is not null")
     distinct = values.distinct().groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct"))
     out = long.join(distinct, "ordinal", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)).cast("bigint"))
     return out.select("ordinal", "name", *STATISTICS)
@@ -73,14 +75,24 @@ def infer_schema(r: Relation) -> SchemaContract:
     return SchemaContract(tuple(infer(c, rows[c.name]) if c.name in rows else c for c in r.columns))
 
 
-def override(contract: SchemaContract, name: str, logical: Logical, by: str, null_markers: tuple[str, ...] | None = None, format_hint: str | None = None) -> SchemaContract:
-    """The next version of a contract, with another reading of one column; the data stay as they are."""
+def conforming(spec: ColumnSpec, s: dict) -> int:
+    """How many present values can be read as the column's type, by its statistics."""
+    counts = {Logical.NUMERICAL: s["numeric"], Logical.DATE: s["dates"] + s["moments"], Logical.BOOLEAN: s["booleans"]}
+    return counts.get(spec.logical, s["present"])
+
+
+def override(contract: SchemaContract, name: str, logical: Logical | None = None, by: str = "", null_markers: tuple[str, ...] | None = None, format_hint: str | None = None, relation: Relation | None = None) -> SchemaContract:
+    """The next version of a contract, with another reading of one column; the data stay as they are.
+
+    With ``relation`` the reason tells how many values don't conform to the new reading.
+    """
     old = contract[name]
+    logical = old.logical if logical is None else logical
     if Logical.UNSUPPORTED in (logical, old.logical):
         raise TabulensError("the type 'unsupported' is neither given nor taken by hand")
-    new = replace(old, logical=logical, overridden_by=by, reason=f"set by {by}", null_markers=old.null_markers if null_markers is None else null_markers, format_hint=format_hint or old.format_hint)
+    new = replace(old, logical=logical, overridden_by=by, confidence=1.0, reason=f"set by {by}", null_markers=old.null_markers if null_markers is None else tuple(null_markers), format_hint=old.format_hint if format_hint is None else format_hint)
+    if relation is not None:
+        one = replace(relation, columns=(replace(new, physical=relation[name].physical, ordinal=0),))
+        s = column_statistics(one).first().asDict()
+        new = replace(new, reason=f"set by {by}; {s['present'] - conforming(new, s)} of {s['present']} values don't conform")
     return SchemaContract(tuple(new if c.name == name else c for c in contract.columns), contract.version + 1, contract.version)
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabulens.functions.expressions import compile_expression
 from tabulens.functions.shape import read
+from tabulens.operators.quantiles import BUCKETS, at_ranks
 from tabulens.operators.registry import Parameter, tool
 from tabulens.types import ColumnSpec, Logical, Relation, Result, TabulensError, col
 
@@ -41,13 +43,6 @@ def filter_rows(r: Relation, expression: str) -> Result:
     return Result("table", r.step(r.df.filter(keep)))
 
 
-def kept_and_total(r: Relation, expression: str) -> tuple[int, int]:
-    """How many rows a filter keeps, of how many, in one pass."""
-    _, keep = compile_expression(expression, r.columns)
-    row = r.df.agg(F.count_if(keep).alias("kept"), F.count(F.lit(1)).alias("total")).first()
-    return row["kept"], row["total"]
-
-
 @tool("derive_column", 2, "compute", "table", Parameter("name", "text"), Parameter("expression", "expression"))
 def derive_column(r: Relation, name: str, expression: str) -> Result:
     """Add a column that an expression computes."""
@@ -81,11 +76,12 @@ def limit_rows(r: Relation, n: int, offset: int) -> Result:
 
 @tool("sample_rows", 2, "shape", "table", Parameter("n", "integer", 1, None, 1, 1_000_000), Parameter("seed", "integer", 2, 20260728), applies_to=lambda r: not r.ordered)
 def sample_rows(r: Relation, n: int, seed: int) -> Result:
-    """Exactly n rows, the same ones for the same seed: those with the least hash of their key."""
+    """Exactly n rows, the same ones for the same seed: those with the least MD5 digest of seed and key, in any engine."""
     if r.ordered:
         raise TabulensError("a sorted table can't be sampled; sample first")
     keys = [col(k) for k in r.row_key]
-    return Result("table", r.step(r.df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)))
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("")) for k in keys]))
+    return Result("table", r.step(r.df.orderBy(drawn, *keys).limit(n)))
 
 
 _MEASURE = re.compile(r"^([A-Za-z_]+)\(\s*(.*?)\s*\)$")
@@ -112,7 +108,10 @@ def measure(r: Relation, text: str):
 
 @tool("aggregate", 2, "compute", "table", Parameter("group_by", "text_list", 2, ()), Parameter("measures", "text_list"))
 def aggregate(r: Relation, group_by: list[str], measures: list[str]) -> Result:
-    """Measures for each group of equal raw values, ordered by these; each group's size is always there."""
+    """Measures for each group of equal raw values, ordered by these; each group's size is always there.
+
+    More than MOST_GROUPS groups are refused before anything is measured.
+    """
     keys = [r[k] for k in group_by]
     made = [measure(r, m) for m in measures]
     labels = [label for label, _, _ in made]
@@ -122,35 +121,46 @@ def aggregate(r: Relation, group_by: list[str], measures: list[str]) -> Result:
         made.append((size, F.count(F.lit(1)), Logical.NUMERICAL))
     if len({*group_by, *[x for x, _, _ in made]}) < len(group_by) + len(made):
         raise TabulensError("two result columns would have the same name")
-    df = r.df.groupBy(*[col(k) for k in group_by]).agg(*[a.alias(x) for x, a, _ in made])
+    if group_by and r.df.select(*[col(k) for k in group_by]).distinct().limit(MOST_GROUPS + 1).count() > MOST_GROUPS:
+        raise TabulensError(f"there are more than {MOST_GROUPS} groups; group by fewer columns")
+    apart = {x for x, _, _ in made if x.startswith("distinct_count_")}
+    if apart and any(x.startswith("median_") for x, _, _ in made):
+        # together they would expand every row; apart, two small results meet on their keys
+        sides = [[(x, a) for x, a, _ in made if (x in apart) == own] for own in (False, True)]
+        left, right = (r.df.groupBy(*[col(k) for k in group_by]).agg(*[a.alias(x) for x, a in side]) for side in sides)
+        others = [f"k{i}_" for i in range(len(group_by))]
+        right = right.toDF(*others, *[x for x, _ in sides[1]])
+        same = reduce(lambda a, b: a & b, [left[f"`{k}`"].eqNullSafe(right[o]) for k, o in zip(group_by, others, strict=True)], F.lit(True))
+        df = left.join(right, same).select(*[col(k) for k in group_by], *[col(x) for x, _, _ in made])
+    else:
+        df = r.df.groupBy(*[col(k) for k in group_by]).agg(*[a.alias(x) for x, a, _ in made])
     specs = [replace(c, ordinal=i) for i, c in enumerate(keys)]
     specs += [spec_of(df, x, len(keys) + i, logical) for i, (x, _, logical) in enumerate(made)]
     order = tuple(col(k).asc_nulls_last() for k in group_by)
     return Result("table", r.step(df, columns=tuple(specs), row_key=tuple(group_by), order=order, size_column=size))
 
 
-def checked_groups(r: Relation, most: int = MOST_GROUPS) -> Relation:
-    """Refuses an aggregated table of more than ``most`` groups, reading one group more than that at the most."""
-    if r.df.limit(most + 1).count() > most:
-        raise TabulensError(f"there are more than {most} groups; group by fewer columns")
-    return r
-
-
 def free_name(name: str, taken: list[str]) -> str:
     while name in taken:
         name += "_"
     return name
 
 
-def ranks(df, keys: list, column: str = "rank_"):
-    """``df`` with a global 1-based rank by ``keys``: ranges are sorted apart, and windows see one row for each of them."""
-    part, low = F.shiftright("_id", 33), F.lit((1 << 33) - 1)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()).persist()
-    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    # one row for each shuffle partition
-    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(column, F.col("_before") + F.col("_id").bitwiseAND(low) + 1).drop("_part", "_before", "_id")
+def ranks(df, key, column: str = "rank_", *ties):
+    """``df`` with a dense 1-based rank by a numeric key without nulls, whose values should mostly differ.
+
+    Rows are counted in buckets of the key, which gives each bucket's first rank; windows see one bucket each.
+    """
+    bounds = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    if bounds["lo"] is None:
+        return df.withColumn(column, F.lit(1).cast("long"))
+    width = max(float(bounds["hi"]) - float(bounds["lo"]), 1e-300)
+    bucket = F.least(F.floor((key.cast("double") - F.lit(float(bounds["lo"]))) / F.lit(width) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+    before, seen = [0] * BUCKETS, 0
+    for r in df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy("b").collect():
+        before[r["b"]], seen = seen, seen + r["n"]
+    first = F.get(F.array(*[F.lit(x).cast("long") for x in before]), F.col("_b"))
+    return df.withColumn("_b", bucket).withColumn(column, first + F.row_number().over(Window.partitionBy("_b").orderBy(key, *ties))).drop("_b")
 
 
 @tool("bin_column", 2, "compute", "table", Parameter("column", "column"), Parameter("strategy", "enum", 2, "equal_width", options=("equal_width", "equal_count")), Parameter("n_bins", "integer", 2, 10, 2, 200), Parameter("include_nulls", "boolean", 3, False))
@@ -170,22 +180,29 @@ def bin_column(r: Relation, column: str, strategy: str, n_bins: int, include_nul
         raise TabulensError(f"{column} has no two different values")
     if strategy == "equal_width":
         width = (bounds["hi"] - bounds["lo"]) / n_bins
-        numbered = df.withColumn("b", F.when(F.col("v").isNotNull(), F.least(F.floor((x - F.lit(bounds["lo"])) / F.lit(width)), F.lit(n_bins - 1))).cast("long"))
+        number = F.least(F.floor((x - F.lit(bounds["lo"])) / F.lit(width)), F.lit(n_bins - 1))
+        made = df.withColumn("b", F.when(F.col("v").isNotNull(), number).cast("long"))
+        made = (made if include_nulls else made.filter(F.col("b").isNotNull())).groupBy("b").agg(F.min("v").alias("from"), F.max("v").alias("to"), F.count(F.lit(1)).alias("n"))
     else:
-        # ntile by arithmetic on a distributed rank: the first n % k tiles have one row more
+        # the first n % k tiles have one row more; a tile is known by the values at its first and last rank
         n, k = bounds["n"], n_bins
         size, more = divmod(n, k)
-        ranked = ranks(df.filter(F.col("v").isNotNull()), [F.col("v")])
-        rank = F.col("rank_") - 1
-        cut = more * (size + 1)
-        numbered = ranked.withColumn("b", F.when(rank < cut, F.floor(rank / (size + 1))).otherwise(more + F.floor((rank - cut) / max(size, 1))).cast("long"))
-        numbered = numbered.select("v", "b").unionByName(df.filter(F.col("v").isNull()).withColumn("b", F.lit(None).cast("long")))
-    if not include_nulls:
-        numbered = numbered.filter(F.col("b").isNotNull())
+        ends = [0]
+        for i in range(min(k, n)):
+            ends.append(ends[-1] + size + (i < more))
+        at = F.unix_micros(F.col("v").cast("timestamp")) if spec.logical == Logical.DATE else F.col("v")
+        found = at_ranks(df.filter(F.col("v").isNotNull()).select(at.alias("v")), [e for a, b in zip(ends, ends[1:], strict=False) for e in (a, b - 1)])
+        tiles = [(i, found[a], found[b - 1], b - a) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
+        missing = df.filter(F.col("v").isNull()).count() if include_nulls else 0
+        tiles += [(None, None, None, missing)] if missing else []
+        kind = "bigint" if spec.logical == Logical.DATE else df.schema["v"].dataType.simpleString()
+        made = df.sparkSession.createDataFrame(tiles, f"b bigint, from {kind}, to {kind}, n bigint")
+        if spec.logical == Logical.DATE:
+            made = made.withColumns({c: F.timestamp_micros(c).cast("timestamp_ntz") for c in ("from", "to")})
     names = []
     for name in ("bin", f"{column}_from", f"{column}_to", "count"):
         names.append(free_name(name, [*r.names, *names]) if name in r.names else name)
-    out = numbered.groupBy(F.col("b").alias(names[0])).agg(F.min("v").alias(names[1]), F.max("v").alias(names[2]), F.count(F.lit(1)).alias(names[3]))
+    out = made.toDF(*names)
     kinds = (Logical.NUMERICAL, spec.logical, spec.logical, Logical.NUMERICAL)
     specs = tuple(spec_of(out, n, i, k) for i, (n, k) in enumerate(zip(names, kinds, strict=True)))
     return Result("table", r.step(out, columns=specs, row_key=(names[0],), order=(col(names[0]).asc_nulls_last(),), size_column=names[3]))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tabulens.types import TabulensError, col
 
@@ -37,7 +36,3 @@ class Gate:
 
     def schema(self, columns: list[tuple[str, str]]) -> list[tuple[str, str]]:
         return columns if self.allows("schema") else []
-
-
-def count_small(groups: DataFrame, size: str) -> int:
-    return groups.agg(F.count_if(col(size) < K).alias("n")).first()["n"]

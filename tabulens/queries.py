@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import tabulens.operators.profile as P
 import tabulens.operators.reports as R
 import tabulens.operators.transforms as T
-from tabulens.operators.stats import column_statistics, infer_schema
+from tabulens.operators.stats import column_statistics
 from tabulens.plans.privacy import suppressed
 from tabulens.types import Logical, Relation, col
 
@@ -94,11 +94,6 @@ def _(r):
     return chain(r, (T.limit_rows, {"n": 50, "offset": 100}), (T.select_columns, {"columns": ["c_custkey", "c_name"]}))
 
 
-@query("sample_rows", "orders")
-def _(r):
-    return T.sample_rows(r, n=100).relation
-
-
 @query("agg_group_all_measures", "lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS count, count(l_quantity) AS count_l_quantity, count(DISTINCT l_suppkey) AS distinct_count_l_suppkey, round(sum(l_quantity),2) AS sum_l_quantity, round(avg(l_discount),2) AS mean_l_discount, round(median(l_quantity),2) AS median_l_quantity, min(l_shipdate) AS min_l_shipdate, round(max(l_tax),2) AS max_l_tax FROM lineitem GROUP BY ALL")
 def _(r):
     return rel(T.aggregate(r, group_by=["l_returnflag", "l_linestatus"], measures=["count()", "count(l_quantity)", "distinct_count(l_suppkey)", "sum(l_quantity)", "mean(l_discount)", "median(l_quantity)", "min(l_shipdate)", "max(l_tax)"]).relation, 2)
@@ -189,7 +184,7 @@ query("distinct_samples", "part", "SELECT DISTINCT trim(p_type) AS value FROM pa
 
 @query("presence_strip", "events", "WITH n AS (SELECT row_number() OVER (ORDER BY event_id)-1 i, nullif(event_type,'click') x FROM events), s AS (SELECT greatest(1,ceil(count(*)/240.0)::BIGINT) w FROM n) SELECT floor(i/w)::BIGINT AS slot, count(*) AS rows, count(x) AS present FROM n, s GROUP BY 1")
 def _(r):
-    numbered = T.ranks(r.df.withColumn("event_type", F.nullif("event_type", F.lit("click"))), [F.col("event_id")]).withColumn("i", F.col("rank_") - 1)
+    numbered = T.ranks(r.df.withColumn("event_type", F.nullif("event_type", F.lit("click"))), F.col("event_id")).withColumn("i", F.col("rank_") - 1)
     return P.presence_strip(Relation.of(numbered, ["event_id"]), "event_type", row="i")
 
 
@@ -218,15 +213,11 @@ query("missingness", "events", " UNION ALL ".join(f"SELECT '{n}' AS name, count(
 query("co_missing", "events", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER (WHERE {_MISS[a]} AND {_MISS[b]}) AS together FROM {HOLES_SQL}" for a, b in (("value", "event_type"), ("value", "props"), ("event_type", "props"))))(lambda r: R.missing_together(holes(r), list(HOLES)))
 query("duplicates", "documents", "SELECT count(*) AS groups, coalesce(sum(n),0)::BIGINT AS affected, (coalesce(sum(n),0)-count(*))::BIGINT AS redundant FROM (SELECT count(*) n FROM documents GROUP BY text HAVING count(*)>1)")(lambda r: R.duplicate_counts(r, ["text"]))
 query("duplicate_examples", "lineitem", "SELECT l_orderkey::VARCHAR||' | '||l_linenumber::VARCHAR AS example, count(*) AS copies FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*)>1 ORDER BY 2 DESC, 1 LIMIT 10")(lambda r: R.duplicate_examples(r, ["l_orderkey", "l_linenumber"]))
-query("type_consistency", "documents")(lambda r: R.type_consistency_report(r).table)
-query("cardinality_report", "customer", "SELECT 'c_name' AS subject, 'all values differ' AS reason")(lambda r: R.cardinality_report(r).table.select("subject", "reason"))
 query("crosstab_counts", "orders", "SELECT a.v AS row, b.v AS column, count(o.o_orderkey) AS count FROM (SELECT DISTINCT o_orderstatus v FROM orders) a CROSS JOIN (SELECT DISTINCT o_orderpriority v FROM orders) b LEFT JOIN orders o ON o.o_orderstatus=a.v AND o.o_orderpriority=b.v GROUP BY 1,2")(lambda r: R.crosstab_counts(r, "o_orderstatus", "o_orderpriority"))
 query("crosstab_row_share", "lineitem", "WITH c AS (SELECT a.v AS row, b.v AS column, count(l.l_orderkey) AS count FROM (SELECT DISTINCT l_returnflag v FROM lineitem) a CROSS JOIN (SELECT DISTINCT l_linestatus v FROM lineitem) b LEFT JOIN lineitem l ON l.l_returnflag=a.v AND l.l_linestatus=b.v GROUP BY 1,2) SELECT row, \"column\", count, round(count/sum(count) OVER (PARTITION BY row),4) AS row_share, round(count/sum(count) OVER (PARTITION BY \"column\"),4) AS column_share, round(count/sum(count) OVER (),4) AS total_share FROM c")(lambda r: R.crosstab_shares(r, "l_returnflag", "l_linestatus"))
 query("crosstab_top_levels", "part", "WITH a AS (SELECT p_brand v FROM part GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5), b AS (SELECT p_type v FROM part GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5) SELECT a.v AS row, b.v AS column, count(p.p_partkey) AS count FROM a CROSS JOIN b LEFT JOIN part p ON p.p_brand=a.v AND p.p_type=b.v GROUP BY 1,2")(lambda r: R.crosstab_counts(r, "p_brand", "p_type", 5))
 query("k_anonymity_suppression", "customer", "SELECT c_nationkey::VARCHAR||'/'||c_mktsegment AS \"group\", count(*) AS n FROM customer GROUP BY ALL HAVING count(*) >= 5 ORDER BY 1 LIMIT 20")(lambda r: suppressed(r.df.groupBy(F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("group")).agg(F.count(F.lit(1)).alias("n")), "n", ["group"]))
 query("grid_page", "orders", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 300")(lambda r: r.rows(100, 300).select("o_orderkey", "o_custkey", "o_totalprice"))
-query("infer_schema", "orders")(lambda r: r.df.sparkSession.createDataFrame([(c.name, c.ordinal, str(c.logical), c.confidence, c.reason) for c in infer_schema(r).columns], "name string, ordinal int, logical string, confidence double, reason string"))
-query("plot_values", "customer")(lambda r: r.df.sparkSession.createDataFrame(R.plot(T.aggregate(r, group_by=["c_mktsegment"], measures=["mean(c_acctbal)"]).relation, mark="bar", x="c_mktsegment", y="mean_c_acctbal").values["data"]["values"]))
 
 
 def flagship_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulens.operators.stats import infer_schema
-from tabulens.operators.transforms import ranks
 from tabulens.sources.readers import READERS
 from tabulens.sources.sniff import MOST_ROWS, PREFIX, Dialect, IngestError, check_size, detect, read_rows, sniff_format
 from tabulens.types import ROW_ID, Relation, SchemaContract, TabulensError, col
@@ -47,18 +46,24 @@ class Dataset:
         return Relation(df, specs, (ROW_ID,))
 
 
-def head_of(spark: SparkSession, path: str) -> tuple[bytes, int]:
-    """(first bytes, length) of a file in any store that Spark reads."""
+#: Bytes at the end of a file that are looked at: a ZIP's directory, a Parquet footer's mark.
+TAIL = 1 << 16
+
+
+def ends_of(spark: SparkSession, path: str) -> tuple[bytes, bytes, int]:
+    """(first bytes, last bytes, length) of a file in any store that Spark reads; a folder counts as Parquet."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     status = fs.getFileStatus(at)
     if status.isDirectory():
-        return b"PAR1", 1
+        return b"PAR1", b"PAR1", 1
     size = status.getLen()
     stream = fs.open(at)
     try:
-        return bytes(stream.readNBytes(min(size, PREFIX))), size
+        head = bytes(stream.readNBytes(min(size, PREFIX)))
+        stream.seek(max(0, size - TAIL))
+        return head, bytes(stream.readNBytes(min(size, TAIL))), size
     finally:
         stream.close()
 
@@ -70,15 +75,27 @@ def content_hash(df: DataFrame) -> str:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """``df`` with dense row numbers in the order of its files."""
+    """``df`` with dense row numbers in the order of its files: a row's place in its split, after the rows of all splits before.
+
+    Nothing is moved. The splits are counted first; they are the same when the rows are read again.
+    """
+    part, low = F.shiftright("_at", 33), F.lit((1 << 33) - 1)
     placed = df.withColumn("_at", F.monotonically_increasing_id())
-    return ranks(placed, [F.col("_at")]).withColumn(ROW_ID, F.col("rank_") - 1).drop("rank_", "_at")
+    counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, seen = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        before.append(F.lit(seen).cast("long"))
+        seen += counts.get(p, 0)
+    if not before:
+        return df.withColumn(ROW_ID, F.lit(0).cast("long"))
+    return placed.withColumn(ROW_ID, F.get(F.array(*before), part.cast("int")) + F.col("_at").bitwiseAND(low)).drop("_at")
 
 
 def inspect(spark: SparkSession, path: str) -> tuple[str, Dialect]:
-    head, size = head_of(spark, path)
+    head, tail, size = ends_of(spark, path)
     check_size(size)
-    return sniff_format(head, path), detect(head, size <= PREFIX)
+    kind = sniff_format(head, path, tail)
+    return kind, detect(head, size <= PREFIX) if kind in ("csv", "tsv") else Dialect()
 
 
 def ingest(spark: SparkSession, path: str, store: str, owner: str = "", name: str | None = None, dialect: Dialect | None = None) -> Dataset:
@@ -109,6 +126,33 @@ def delete_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Catalog:
+    """The datasets of an application: added once, found by id, and deleted with their bytes."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._rows = spark, {}
+
+    def add(self, d: Dataset) -> Dataset:
+        if d.id in self._rows:
+            raise TabulensError(f"there is a dataset {d.id} already")
+        self._rows[d.id] = d
+        return d
+
+    def of(self, owner: str) -> list[Dataset]:
+        return [d for d in self._rows.values() if d.owner == owner]
+
+    def get(self, id: str, owner: str) -> Dataset:
+        d = self._rows.get(id)
+        if d is None or d.owner != owner:
+            raise TabulensError(f"there is no dataset {id!r}")
+        return d
+
+    def delete(self, id: str, owner: str) -> None:
+        """The bytes go first: a row without bytes can be deleted again, bytes without a row could not be found."""
+        delete_path(self.spark, self.get(id, owner).path)
+        del self._rows[id]
+
+
 def page(dataset: DataFrame, offset: int, limit: int) -> DataFrame:
     """Rows in file order by their numbers, which Parquet's statistics find without reading the others."""
     if offset < 0 or not 1 <= limit <= MOST_PAGE:
@@ -118,9 +162,7 @@ def page(dataset: DataFrame, offset: int, limit: int) -> DataFrame:
 
 def preview(spark: SparkSession, path: str, dialect: Dialect | None = None) -> tuple[list[str], list[list[str | None]], list[str]]:
     """(columns, at most PREVIEW rows, warnings) from the first bytes of a delimited file; nothing is kept."""
-
-
-    head, size = head_of(spark, path)
+    head, _, size = ends_of(spark, path)
     d = dialect or detect(head, size <= PREFIX)
     rows = read_rows(head.decode(d.encoding, "replace"), d.delimiter, PREVIEW + 1)
     width = len(rows[0]) if rows else 0

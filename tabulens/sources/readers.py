@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulens.sources.sniff import MOST_ROWS, Dialect, IngestError, check_delimiter, check_names, check_zip
+from tabulens.sources.sniff import MOST_ROWS, Dialect, IngestError, check_delimiter, check_names, check_size, check_zip
 from tabulens.types import col
 
 _BAD = "__record"
@@ -30,20 +30,41 @@ def fields_of(record: Column, delimiter: str) -> Column:
     return F.length(plain) - F.length(F.replace(plain, F.lit(delimiter), F.lit(""))) + 1
 
 
+#: The signs that Latin-1 and Windows-1252 read differently: the latter is read as the former and mended, as Spark reads few encodings.
+_LATIN = "".join(chr(c) for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+
+
+def _windows(text: str) -> str:
+    return "".join(c.encode("latin-1").decode("cp1252") if c in _LATIN else c for c in text)
+
+
+def spans_lines(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Whether a quoted cell holds a line feed: then some line has an odd number of quotes. One pass over the lines."""
+    if encoding.lower().startswith(("utf-16", "utf-32")):
+        return True
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str, d: Dialect) -> DataFrame:
-    """All columns as text; short rows are filled with null, a long row is refused."""
-    base = {"sep": d.delimiter, "quote": '"', "escape": '"', "encoding": {"utf-8-sig": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}.get(d.encoding, d.encoding), "multiLine": True, "inferSchema": False, "nullValue": "\x00", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    """All columns as text; short rows are filled with null, a long row is refused.
+
+    A file is read in splits, unless a cell runs over several lines; then it is one task.
+    """
+    base = {"sep": d.delimiter, "quote": '"', "escape": '"', "encoding": {"utf-8-sig": "UTF-8", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1"}.get(d.encoding, d.encoding), "multiLine": spans_lines(spark, path, d.encoding), "inferSchema": False, "nullValue": "\x00", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     first = spark.read.options(**base, header=False).csv(path)
     row = first.limit(1).collect()
     if not row:
         raise IngestError("the table is empty")
-    names = [(x or "").removeprefix("\ufeff") for x in row[0]] if d.header else [f"column_{i + 1}" for i in range(len(first.columns))]
+    names = [_windows(x or "").removeprefix("\ufeff") if d.encoding == "cp1252" else (x or "").removeprefix("\ufeff") for x in row[0]] if d.header else [f"column_{i + 1}" for i in range(len(first.columns))]
     check_names(names)
     schema = T.StructType([*strings(names).fields, T.StructField(_BAD, T.StringType())])
     df = spark.read.options(**base, header=d.header, mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD, enforceSchema=True).schema(schema).csv(path)
     checked = F.when(col(_BAD).isNotNull() & (fields_of(col(_BAD), d.delimiter) > len(names)), F.raise_error(F.concat(F.lit("a row has more cells than there are columns: "), F.substring(col(_BAD), 1, 80))))
     # the check rides on the first column, so that it can't be pruned away while rows are written
     df = df.withColumn(names[0], F.coalesce(checked.cast("string"), col(names[0]))).select(*[col(n) for n in names])
+    if d.encoding == "cp1252":
+        df = df.select(*[F.translate(col(n), _LATIN, _windows(_LATIN)).alias(n) for n in names])
     check_delimiter(names, [list(r) for r in df.limit(20).collect()], d.delimiter)
     return df
 
@@ -63,7 +84,9 @@ def as_text(x: object) -> str | None:
 
 def read_json(spark: SparkSession, path: str, d: Dialect) -> DataFrame:
     """An array of flat objects; columns in the order in which they first occur; nested values are refused."""
-    data = b"".join(r["content"] for r in spark.read.format("binaryFile").load(path).select("content").collect())
+    files = spark.read.format("binaryFile").load(path)
+    check_size(files.agg(F.sum("length")).first()[0] or 0, path)
+    data = b"".join(r["content"] for r in files.orderBy("path").select("content").collect())
     try:
         rows = json.loads(data.decode("utf-8-sig"))
     except ValueError as e:

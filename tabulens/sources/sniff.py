@@ -31,7 +31,8 @@ def sniff_format(head: bytes, name: str = "", tail: bytes = b"") -> str:
             raise IngestError("the Parquet file is cut off")
         return "parquet"
     if head.startswith(b"PK\x03\x04"):
-        if b"xl/" in head or name.lower().endswith(".xlsx"):
+        # the names of all members stand in the directory at the end
+        if b"xl/workbook.xml" in (tail or head):
             return "xlsx"
         raise IngestError("a ZIP archive that is no workbook can't be read")
     text = head.lstrip(codecs.BOM_UTF8 + b" \t\r\n")
@@ -67,11 +68,14 @@ class Dialect:
 
 def read_rows(text: str, delimiter: str, most: int = ROWS) -> list[list[str]]:
     out = []
-    for row in csv.reader(io.StringIO(text), delimiter=delimiter):
-        if row:
-            out.append(row)
-        if len(out) >= most:
-            break
+    try:
+        for row in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter):
+            if row:
+                out.append(row)
+            if len(out) >= most:
+                break
+    except csv.Error:  # what was read before the damage is judged
+        pass
     return out
 
 

@@ -8,6 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+import tabulens.fixture_queries  # noqa: F401
 from tabulens.queries import ORACLE, QUERIES, flagship_query
 
 DATA = Path("/root/testdata/sf0.001")
