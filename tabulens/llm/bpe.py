@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import sys
 import unicodedata
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import Rows, blocks, partitions, text_or_empty
+from tabulens.llm.common import Rows, bounded, merged_blocks, owner_keys, partitions, release, releasing, text_or_empty
 from tabulens.llm.packing import pack_bytes, pack_numbers, unpack_bytes, unpack_numbers
 
 #: Bytes of text in a block; a longer text is a block of its own.
@@ -116,19 +117,13 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
-def _split_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[list[str]], list[str]]]:
-    """(block, its rows, the pre-tokens of each, its distinct pre-tokens: the frequent first, then in order)."""
+def _numbered_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     part = TaskContext.get().partitionId()
-    for i, rows in enumerate(blocks(batches, BLOCK_BYTES, "text_")):
-        words = [pre_tokens(t) for t in rows.column(1).to_pylist()]
-        counts: Counter[str] = Counter()
-        for w in words:
-            counts.update(w)
-        distinct = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
-        yield part << 32 | i, rows, words, distinct
+    for i, rows in enumerate(merged_blocks(batches, BLOCK_BYTES, "text_")):
+        yield part << 32 | i, rows
 
 
-def _stamp(distinct: list[str]) -> int:
+def _stamp(distinct: Iterable[str]) -> int:
     return zlib.crc32("\x00".join(distinct).encode("utf-8", "surrogatepass"))
 
 
@@ -136,43 +131,53 @@ def _owners(words: list[bytes], n: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(w) for w in words), np.uint32, len(words)) % n
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", decoded: bool = False) -> DataFrame:
     """(key, ids array<int>): every whole text by the ranks in ``path``, without special tokens.
 
+    ``decoded``: with what ``decode`` gives for the ids, made in the same worker.
+
     Null and empty texts have no ids. Repeated rows give repeated rows; a null key stays null; other columns play no
     part. ``docs`` is read twice and must give the same rows in the same partitions each time, as a table does; a
     block whose two readings differ raises an error instead of giving wrong ids. Memory is bounded by a block, and by
     the distinct words that one of the shuffle partitions owns.
     """
+    bounded(docs.sparkSession)
     n = partitions(docs)
+    keys_of = owner_keys(docs.sparkSession, n)
     source = docs.select(F.col(key).cast("long").alias(key), text_or_empty(text).alias("text_"))
-    words_schema = pa.schema([("owner", pa.int32()), ("block", pa.int64()), ("stamp", pa.int64()), ("places", pa.binary()), ("words", pa.binary())])
+    words_schema = pa.schema([("owner", pa.int64()), ("block", pa.int64()), ("stamp", pa.int64()), ("places", pa.binary()), ("words", pa.binary())])
     places_schema = pa.schema([("block", pa.int64()), ("stamp", pa.int64()), (key, pa.int64()), ("places", pa.binary())])
     ids_schema = pa.schema([("block", pa.int64()), ("stamp", pa.int64()), ("places", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())])
-    out_schema = pa.schema([(key, pa.int64()), ("ids", pa.list_(pa.int32()))])
+    out_schema = pa.schema([(key, pa.int64()), ("ids", pa.list_(pa.int32())), *([("decoded", pa.binary())] if decoded else [])])
 
     def words_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(words_schema)
-        for block, _, _, distinct in _split_blocks(batches):
-            data = [w.encode("utf-8", "surrogatepass") for w in distinct]
-            stamp = _stamp(distinct)
+        for block, rows in _numbered_blocks(batches):
+            known: dict[str, None] = {}  # in the order of their first places
+            for t in rows.column(1).to_pylist():
+                known |= dict.fromkeys(pre_tokens(t))
+            stamp = _stamp(known)
+            data = [w.encode("utf-8", "surrogatepass") for w in known]
             owners = _owners(data, n)
             order = np.argsort(owners, kind="stable")
             cuts = np.searchsorted(owners[order], np.arange(n + 1))
             for o in range(n):
                 own = order[cuts[o] : cuts[o + 1]]
                 if len(own):
-                    row = o, block, stamp, pack_numbers(np.diff(own, prepend=0)), pack_bytes([data[i] for i in own.tolist()])
+                    row = keys_of[o], block, stamp, pack_numbers(np.diff(own, prepend=0)), pack_bytes([data[i] for i in own.tolist()])
                     yield from out.add(row, len(row[3]) + len(row[4]))
         yield from out.flush()
 
     def places_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(places_schema)
-        for block, rows, words, distinct in _split_blocks(batches):
-            place = {w: i for i, w in enumerate(distinct)}
-            stamp = _stamp(distinct)
-            for k, w in zip(rows.column(0).to_pylist(), words, strict=True):
-                blob = pack_numbers(np.fromiter(map(place.__getitem__, w), np.uint32, len(w)))
+        for block, rows in _numbered_blocks(batches):
+            place: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+            found = []
+            for t in rows.column(1).to_pylist():
+                w = pre_tokens(t)
+                found.append(pack_numbers(np.fromiter(map(place.__getitem__, w), np.uint32, len(w))))
+            stamp = _stamp(place)
+            for k, blob in zip(rows.column(0).to_pylist(), found, strict=True):
                 yield from out.add((block, stamp, k, blob), len(blob))
         yield from out.flush()
 
@@ -214,12 +219,26 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
             keys.append(k)
             ends.append(ends[-1] + total)
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out or [flat[:0]]), pa.int32()))
-        return pa.Table.from_arrays([pa.array(keys, pa.int64()), lists], schema=out_schema)
+        columns = [pa.array(keys, pa.int64()), lists]
+        if decoded:
+            table = pa.array(vocabulary(path).table, pa.binary())
+            columns.append(pa.chunked_array([texts_of(part.column(1), table) for part in _by_values(pa.RecordBatch.from_arrays(columns, names=[key, "ids"]), DECODE_IDS)], pa.binary()))
+        release()
+        return pa.Table.from_arrays(columns, schema=out_schema)
+
+    words = source.mapInArrow(releasing(words_of), "owner long, block long, stamp long, places binary, words binary")
+    ids = words.repartition(n, "owner").mapInArrow(releasing(encode_words), "block long, stamp long, places binary, sizes binary, ids binary")
+    places = source.mapInArrow(releasing(places_of), f"block long, stamp long, {key} long, places binary")
+    return places.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(reassemble, f"{key} long, ids array<int>" + ", decoded binary" * decoded)
+
 
-    words = source.mapInArrow(words_of, "owner int, block long, stamp long, places binary, words binary")
-    ids = words.repartition(n, "owner").mapInArrow(encode_words, "block long, stamp long, places binary, sizes binary, ids binary")
-    places = source.mapInArrow(places_of, f"block long, stamp long, {key} long, places binary")
-    return places.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(reassemble, f"{key} long, ids array<int>")
+def texts_of(lists: pa.ListArray, table: pa.Array) -> pa.BinaryArray:
+    """The bytes of each list of ids: looked up at once, so that the bytes of all rows lie in one buffer."""
+    found = table.take(lists.flatten())
+    # a row's text ends where its last id's bytes end
+    at = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy())])
+    ends = np.frombuffer(found.buffers()[1], np.int32, len(found) + 1) if len(found) else np.zeros(1, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(ends[at])), found.buffers()[2]])
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -235,14 +254,10 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
         for batch in batches:
             for rows in _by_values(batch, DECODE_IDS):
                 lists = rows.column(1)
-                # the bytes of all rows lie in one buffer; a row's text ends where its last id's bytes end
-                found = table.take(lists.flatten())
-                at = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy())])
-                ends = np.frombuffer(found.buffers()[1], np.int32, len(found) + 1) if len(found) else np.zeros(1, np.int32)
-                texts = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(ends[at])), found.buffers()[2]])
+                texts = texts_of(lists, table)
                 yield pa.RecordBatch.from_arrays([rows.column(0), lists.cast(schema.field(1).type), texts], schema=schema)
 
-    return encoded.select(F.col(key).cast("long").alias(key), ids).mapInArrow(run, f"{key} long, {ids} array<int>, decoded binary")
+    return encoded.select(F.col(key).cast("long").alias(key), ids).mapInArrow(releasing(run), f"{key} long, {ids} array<int>, decoded binary")
 
 
 def _by_values(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
@@ -265,5 +280,5 @@ def ids_text(column: str) -> Column:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of the encoded and decoded documents."""
-    both = decode(encode(docs, path), path)
+    both = encode(docs, path, decoded=True)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_text("ids").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
