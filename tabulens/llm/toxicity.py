@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tabulens.llm.common import BATCH_BYTES, blocks, text_or_empty
+from tabulens.llm.common import BATCH_BYTES, blocks, bounded, fresh, releasing, text_or_empty
 
 #: Labelled rows to learn from, at most: those with the least hash of their id.
 SAMPLE = 20_000
@@ -30,6 +30,8 @@ WINDOW, WORD, BEGINNINGS, SHORT = 3, 64, range(5, 13), 3
 #: Beginnings in a dictionary that both classes use.
 COMMON = 600
 THRESHOLD = 0.3
+#: Beginnings that a worker counts before it sends what it has.
+HELD = 100_000
 #: Stands at the end of each dictionary and window, so that every window is compressed and none is stored.
 TAIL = b"=-_~+^<>[]{}@#|&%$!?0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -41,10 +43,17 @@ def words(text: str) -> list[str]:
     return out
 
 
-def windows(text: str) -> list[bytes]:
-    """The whole text in runs of WINDOW words, each with a space before it."""
-    w = words(text)
-    return [(" " + " ".join(w[i : i + WINDOW])).encode("utf-8", "surrogatepass") for i in range(0, len(w), WINDOW)]
+def windows(text: str) -> tuple[bytes, np.ndarray]:
+    """The whole text's words, a space before each, and where runs of WINDOW words begin and the last one ends."""
+    data = "".join(" " + w for w in words(text)).encode("utf-8", "surrogatepass")
+    spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 0x20)
+    return data, np.append(spaces[::WINDOW], len(data))
+
+
+def runs_of_four(data: bytes) -> np.ndarray:
+    """The numbers of all runs of four bytes, the shortest that zstandard refers to."""
+    x = np.frombuffer(data, np.uint8).astype(np.uint32)
+    return x[:-3] | x[1:-2] << np.uint32(8) | x[2:-1] << np.uint32(16) | x[3:] << np.uint32(24)
 
 
 def beginnings(text: str) -> set[str]:
@@ -87,6 +96,13 @@ class Model:
 
 
 class Scorer:
+    """Compares windows by their compressed lengths.
+
+    A window counts as evidence only if it holds a run of four bytes that the toxic dictionary has beyond what both share
+    and the ordinary one has not; without one, the toxic dictionary has nothing of its own to refer to. Only such windows
+    are compressed.
+    """
+
     def __init__(self, model: Model):
         size = max(14, (len(model.toxic) + WINDOW * (WORD + 1) * 4 + len(TAIL)).bit_length())  # all of a dictionary is within reach
         params = zstandard.ZstdCompressionParameters(window_log=size + 1, hash_log=size, chain_log=size, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
@@ -96,11 +112,33 @@ class Scorer:
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=params)
             self.with_.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress)
+        width = len(model.toxic)
+        own = next((i for i in range(width) if model.toxic[width - 1 - i] != model.ordinary[width - 1 - i]), width)
+        toxic, ordinary = (np.unique(runs_of_four(x[: width - own] or TAIL)) for x in (model.toxic, model.ordinary))
+        self.marks = np.setdiff1d(toxic, ordinary)
+        self.known = np.zeros(1 << 16, bool)
+        self.known[self._place(self.marks)] = True
+
+    @staticmethod
+    def _place(runs: np.ndarray) -> np.ndarray:
+        return runs * np.uint32(0x9E3779B1) >> np.uint32(16)
+
+    def evidence(self, text: str) -> list[bytes]:
+        """The windows that can count, in order."""
+        data, starts = windows(text)
+        if len(data) < 4:
+            return []
+        runs = runs_of_four(data)
+        at = np.flatnonzero(self.known[self._place(runs)])
+        at = at[np.isin(runs[at], self.marks)]
+        place = np.searchsorted(starts, at, "right") - 1
+        place = np.unique(place[at + 4 <= starts[place + 1]])
+        return [data[a:b] for a, b in zip(starts[place].tolist(), starts[place + 1].tolist(), strict=True)]
 
     def features(self, text: str) -> list[float]:
         """The largest gain of the toxic dictionary, the sum of the three largest, and how many windows gain 2, 3 and 4 bytes."""
         toxic, ordinary = self.with_
-        gains = sorted((len(ordinary(w + TAIL)) - len(toxic(w + TAIL)) for w in windows(text)), reverse=True)
+        gains = sorted((len(ordinary(w + TAIL)) - len(toxic(w + TAIL)) for w in self.evidence(text)), reverse=True)
         return [1.0, max(gains[0], 0) if gains else 0.0, float(sum(max(g, 0) for g in gains[:3])), *(math.log1p(sum(g >= k for g in gains)) for k in (2, 3, 4))]
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -154,19 +192,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=["toxic", "text_", "family"])
 
         # near copies would make whatever they hold look typical, so one text of each family is counted
-        alone = rows.mapInArrow(families, "toxic int, text_ string, family long").groupBy("family", "toxic").agg(F.min("text_").alias("text_")).select("toxic", "text_")
+        alone = rows.mapInArrow(releasing(families), "toxic int, text_ string, family long").groupBy("family", "toxic").agg(F.min("text_").alias("text_")).select("toxic", "text_")
 
         def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts: tuple[Counter[str], Counter[str]] = Counter(), Counter()
+
+            def sent() -> pa.RecordBatch:
+                own = [[*c] for c in counts]
+                columns = {"unit": pa.array(own[0] + own[1], pa.string()), "toxic": pa.array([0] * len(own[0]) + [*counts[1].values()], pa.int64()), "ordinary": pa.array([*counts[0].values()] + [0] * len(own[1]), pa.int64())}
+                for c in counts:
+                    c.clear()
+                return pa.RecordBatch.from_pydict(columns)
+
             for batch in batches:
                 for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     counts[y].update(beginnings(text))
-            units = list(counts[0] | counts[1])
-            for i in range(0, len(units), 50_000):
-                part = units[i : i + 50_000]
-                yield pa.RecordBatch.from_pydict({"unit": pa.array(part, pa.string()), "toxic": pa.array([counts[1][u] for u in part], pa.int64()), "ordinary": pa.array([counts[0][u] for u in part], pa.int64())})
+                    if len(counts[0]) + len(counts[1]) > HELD:
+                        yield sent()
+            yield sent()
 
-        units = alone.mapInArrow(count, "unit string, toxic long, ordinary long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+        units = alone.mapInArrow(releasing(count), "unit string, toxic long, ordinary long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
         units = units.withColumn("both", F.col("toxic") + F.col("ordinary")).filter("both >= 3").cache()
         least = math.log(max(2, units.count())) + 2
 
@@ -196,43 +241,43 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
                 found = [scorer.features(t) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], names=["toxic", "x"])
 
-        data = rows.mapInArrow(measure, "toxic int, x array<double>").collect()
+        data = rows.mapInArrow(releasing(measure), "toxic int, x array<double>").collect()
         w = fit_logistic(np.array([r["x"] for r in data]), np.array([r["toxic"] for r in data], float))
         return Model(plain.toxic, plain.ordinary, tuple(w.tolist()))
     finally:
         rows.unpersist()
 
 
-def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from THRESHOLD on); whole texts, all columns kept.
+def score(docs: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with two columns more, a score (0 to 1) and whether it reaches THRESHOLD (1 or 0); whole texts, all columns kept.
 
-    Null and empty texts have no window and get the curve's value for no evidence. Without a model every score is 0.
-    Columns of ``docs`` that are named score or predicted are replaced.
+    Null and empty texts have no window and get the curve's value for no evidence; repeated rows stay. Without a model
+    every score is 0. ``names`` must be names that ``docs`` doesn't have.
     """
-    docs = docs.drop("score", "predicted")
+    bounded(docs.sparkSession)
     if model is None:
-        return docs.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
-    names = docs.columns
-    place = names.index(text)
-    kept = docs.schema
+        return docs.withColumn(names[0], F.lit(0.0)).withColumn(names[1], F.lit(0))
+    columns = docs.columns
+    place = columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for rows in blocks(batches, BATCH_BYTES, text):
             x = np.array([scorer.features(t or "") for t in rows.column(place).to_pylist()])
             s = scorer.score(x)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*columns, *names])
 
-    return docs.mapInArrow(run, StructType([*kept.fields, StructField("score", DoubleType(), False), StructField("predicted", IntegerType(), False)]))
+    return docs.mapInArrow(releasing(run), StructType([*docs.schema.fields, StructField(names[0], DoubleType(), False), StructField(names[1], IntegerType(), False)]))
 
 
 def document_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
+    """doc_id, held_out, score, predicted for every document; other columns play no part."""
     model = train(docs, labels)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return score(own, model).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted to be toxic, with their columns."""
-    return score(docs, train(docs, labels)).filter("predicted = 0").select(*docs.columns)
+    """The documents that are not predicted to be toxic, with all their columns unchanged, whatever their names."""
+    names = fresh(docs, "score", "predicted")
+    return score(docs, train(docs, labels), names=tuple(names)).filter(F.col(names[1]) == 0).select(*docs.columns)
