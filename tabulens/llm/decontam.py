@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import BATCH_BYTES, Rows, blocks, bounded, text_or_empty, written
+from tabulens.llm.common import BATCH_BYTES, Rows, blocks, bounded, releasing, text_or_empty, written
 
 #: Edits allowed for each character of an item, and characters of a piece at least. Pieces would be shorter, and the budget
 #: therefore smaller, only for items below SHORT characters, which are held to no edits at all.
@@ -163,7 +163,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, pi
     kind = f"{key} long, item_id long, distance int, start_at long, end_at long"
     out = None
     for group, last in _last_marked(_groups(benchmark)):
-        found = source.mapInArrow(searcher(*group), kind)
+        found = source.mapInArrow(releasing(searcher(*group)), kind)
         found = found if last and out is None else written(found, "leaks")
         out = found if out is None else out.unionAll(found)
     return source.mapInArrow(searcher({}, []), kind) if out is None else out
@@ -222,6 +222,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET
 
     out = docs
     for (items, _), last in _last_marked(_groups(benchmark)):
-        out = out.mapInArrow(keeper(items), docs.schema)
+        out = out.mapInArrow(releasing(keeper(items)), docs.schema)
         out = out if last else written(out, "clean")
     return out
