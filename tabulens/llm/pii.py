@@ -173,6 +173,13 @@ def candidates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     return df.select(key, "apart", *KINDS, "every", "more")
 
 
+def training_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(apart, every) of every whole text, as ``candidates`` has them."""
+    bounded(docs.sparkSession)
+    df = docs.select(text_or_empty(text).alias("t")).withColumn("any", F.col("t").rlike("[0-9@]")).filter("any")
+    return _proposed(df.withColumn("apart", F.pmod(F.xxhash64("t"), F.lit(APART)) == 0), "t", "every", False).select("apart", "every")
+
+
 def _blank(x: Column) -> Column:
     return F.repeat(F.lit(BLANK), F.length(x))
 
@@ -383,7 +390,7 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     Kinds are replaced one after another, the widest patterns first, so that of overlapping spans nothing is left. Other
     columns may have any name.
     """
-    models = train(written(candidates(docs.select(F.lit(0).cast("long").alias("doc_id"), F.col(text).alias("text"))), "pii"))
+    models = train(written(training_candidates(docs, text), "candidates"))
     names = docs.columns
     t, p, any_ = fresh(docs, "t", "p", "any")
     df = docs.withColumn(t, F.when(F.col(text).rlike("[0-9@]"), _each(text_or_empty(text), ESCAPES))).withColumn(any_, F.col(t).isNotNull())
