@@ -332,53 +332,6 @@ def test_language_model(docs, empty):
     assert lm_mix.document_scores(empty).collect() == []
 
 
-def test_language_model_is_a_probability():
-    rng = random.Random(8)
-    pairs = lm_mix.np.zeros((257, 257))
-    for _ in range(3000):
-        pairs[rng.randrange(97, 120), rng.randrange(97, 120)] += 1
-    codes = lm_mix.Codes.of(pairs)
-    shares = 0.5 ** codes.length.reshape(257, 257).astype(float)
-    assert lm_mix.np.allclose(shares.sum(axis=1), 1)  # each tree is a full prefix code
-    tables = [lm_mix.np.array([rng.randrange(65536) for _ in range(1 << 16)], lm_mix.np.uint16) for _ in range(lm_mix.TABLES)]
-    model = lm_mix.Model(codes, tables, 16, lm_mix.FIRST_WEIGHTS)
-    # all continuations of a text, its end among them, have the probability of having got that far
-    after = [lm_mix.scores(model, [b"ab" + bytes([c])])[0] for c in (97, 98)]
-    assert all(x < lm_mix.scores(model, [b"ab"])[0] + 60 for x in after)
-    long = bytes(rng.randrange(97, 120) for _ in range(3 * lm_mix.PIECE + 17))
-    at, codes_seen = 0, 0
-    for _, s, place, keep, starts in lm_mix.runs([long]):
-        codes_seen += int(keep.sum())
-        at += 1
-    assert codes_seen == len(long) + 1 and at == 4
-
-
-def test_language_model_refines_short_texts_as_it_reads():
-    np, rng = lm_mix.np, random.Random(11)
-    made = [b"", b"a", *(bytes(rng.randrange(97, 120) for _ in range(n)) for n in (5, 300, 299, lm_mix.PIECE + 40)), b"abcd" * 100]
-    pairs = np.ones((257, 257))
-    tables = [np.array([rng.randrange(65536) for _ in range(1 << 16)], np.uint16) for _ in range(lm_mix.TABLES)]
-    model = lm_mix.Model(lm_mix.Codes.of(pairs), tables, 16, lm_mix.FIRST_WEIGHTS)
-    got = lm_mix.scores(model, made)
-    assert np.allclose(got, [lm_mix.scores(model, [t])[0] for t in made], rtol=1e-6)
-    for t, found in zip(made, got, strict=True):
-        total, fixed, w = 0.0, 0.0, model.weights.astype(float)
-        for _, s, place, keep, starts in lm_mix.runs([t]):
-            d = lm_mix.decisions(model.codes, s, place, keep, starts, 16)
-            x, gate = model.inputs(d)
-            for a in range(0, len(gate), lm_mix.FEW):  # the plain way, one text and one decision after another
-                pull = np.zeros_like(w)
-                for j in range(a, min(len(gate), a + lm_mix.FEW)):
-                    u = x[:, j].astype(float) * (1 if d.branch[j] else -1)
-                    m = float(np.clip(u @ w[:, gate[j]], -16, 16))
-                    total -= math.log10(1 + math.exp(-m))
-                    fixed -= math.log10(1 + math.exp(-float(np.clip(u @ model.weights[:, gate[j]], -16, 16))))
-                    pull[:, gate[j]] += u / (1 + math.exp(m))
-                w = np.clip(w + lm_mix.ONLINE * pull, -4, 4)
-        assert math.isclose(found, total, rel_tol=1e-3)
-        assert len(t) < 300 or abs(found - fixed) > 0.01 * abs(fixed)
-
-
 def test_warc(spark, tmp_path):
     made = [(i, f"http://h{i % 3}.example.com/{i % 5}?q={i}", ("same" if i % 2 else f"page {i}") if i % 7 else None) for i in range(50)] + [(None, None, "same"), (49, "http://bad[", "same"), (60, "http://x/\r\ny z", "é" * 5000)]
     pages = spark.createDataFrame(made, "page_id long, url string, html string")
