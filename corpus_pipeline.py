@@ -38,7 +38,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the digest of the text that the ids decode to."""
-    out = bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY)
+    out = bpe.encode(docs, VOCABULARY, decoded=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
