@@ -384,7 +384,7 @@ def _each(text: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every base span and every selected further one replaced by its kind in brackets; n_chars follows.
+    """``docs`` with every base span and every selected further one replaced by its kind in brackets; its n_chars follows.
 
     All columns and rows stay; null texts stay null, and texts without a span stay as they are, whatever signs they hold.
     Kinds are replaced one after another, the widest patterns first, so that of overlapping spans nothing is left. Other
@@ -407,7 +407,9 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
             return hit[0]
 
         df = df.withColumn(t, F.coalesce(F.when(F.size(p) > 1, F.array_join(F.transform(F.sequence(F.lit(0), F.size(p) - 1), lambda i: piece(F.col(p), i)), "")), F.col(t)))
-    df = df.withColumn(t, _each(F.col(t), tuple((b, a) for a, b in reversed(ESCAPES)))).withColumn(text, F.when(F.col(any_), F.col(t)).otherwise(F.col(text)))
+    df = df.withColumn(t, _each(F.col(t), tuple((b, a) for a, b in reversed(ESCAPES))))
+    changed = F.col(any_) & (F.col(t) != F.col(text))
     if "n_chars" in names:
-        df = df.withColumn("n_chars", F.when(F.col(text).isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars")))
+        df = df.withColumn("n_chars", F.when(changed, F.length(t).cast("long")).otherwise(F.col("n_chars")))
+    df = df.withColumn(text, F.when(changed, F.col(t)).otherwise(F.col(text)))
     return df.select(*names)
