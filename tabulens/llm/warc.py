@@ -20,10 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import BATCH_BYTES, Rows, as_bytes, partitions, text_or_empty, written
+from tabulens.llm.common import BATCH_BYTES, Rows, as_bytes, bounded, partitions, releasing, text_or_empty, written
 
 #: Bytes of an archive, after which the next one begins.
 ARCHIVE_BYTES = 4 << 20
+#: Shared payloads whose digests go to every task.
+FEW_SHARED = 1 << 18
 #: Rows of a sorted run, and runs of a task that stay in memory; more are kept in a scratch file of the task.
 RUN_ROWS, RUNS_IN_MEMORY = 20_000, 8
 #: Fixed values of the format.
@@ -100,13 +102,16 @@ def records(archive: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
             raise WarcError("a record is cut off")
         raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
-        lines = head.decode().split("\r\n")
-        fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
-        size = int(fields.get("Content-Length", -1))
+        try:
+            lines = head.decode().split("\r\n")
+            fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
+            size = int(fields["Content-Length"])
+        except (UnicodeDecodeError, ValueError, KeyError) as e:
+            raise WarcError(f"the head of the record at byte {at} is damaged") from e
         if lines[0] != VERSION or len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
             raise WarcError(f"the record at byte {at} is damaged")
         block = rest[:size]
-        if fields["WARC-Block-Digest"] != f"sha1:{digest(block)}":
+        if fields.get("WARC-Block-Digest") != f"sha1:{digest(block)}":
             raise WarcError(f"the block at byte {at} doesn't match its digest")
         yield at, fields, block
         at = to - len(unpack.unused_data)
@@ -127,13 +132,16 @@ def write_archives(pages: DataFrame, smallest: int = 0) -> DataFrame:
 
     Of the rows with equal payloads of at least ``smallest`` bytes, those with the largest page_id are responses and the
     others revisit it; rows without an id never are that one unless all are. A null html is an empty payload, a null
-    url an empty target. A payload that many pages share is found by partial maxima, and the join that follows is dealt
-    anew where one payload is hot.
+    url an empty target. Payloads that many pages share are found by partial maxima; more than FEW_SHARED of them are
+    joined by a shuffle, which is dealt anew where one payload is hot. Repeated rows have a record each; other columns of
+    ``pages`` play no part, whatever their names; an empty table gives no archives.
     """
+    bounded(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_or_empty("html").alias("html_")).withColumn("_sha", F.sha1("html_"))
     kept = rows.groupBy("_sha").agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n"))
-    kept = kept.filter("_n > 1 and _last is not null").select("_sha", "_last")
-    joined = rows.join(kept, "_sha", "left").withColumn("_last", F.when(F.octet_length("html_") >= smallest, F.col("_last")))
+    kept = written(kept.filter("_n > 1 and _last is not null").select("_sha", "_last"), "shared")
+    # payloads that several pages share, by digest and page: few of them go to every task and no page moves
+    joined = rows.join(F.broadcast(kept) if kept.count() <= FEW_SHARED else kept, "_sha", "left").withColumn("_last", F.when(F.octet_length("html_") >= smallest, F.col("_last")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -154,7 +162,7 @@ def write_archives(pages: DataFrame, smallest: int = 0) -> DataFrame:
         if held:
             yield close()
 
-    return written(joined.select("page_id", "url", "html_", "_last").mapInArrow(run, "archive string, content binary"), "warc")
+    return written(joined.select("page_id", "url", "html_", "_last").mapInArrow(releasing(run), "archive string, content binary"), "warc")
 
 
 CAPTURE = "url_key string, captured string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, place long"
@@ -180,7 +188,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     yield from out.add(row, 300)
         yield from out.flush()
 
-    return archives.select("archive", "content").mapInArrow(run, CAPTURE)
+    return archives.select("archive", "content").mapInArrow(releasing(run), CAPTURE)
 
 
 class LoserTree:
