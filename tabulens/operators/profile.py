@@ -174,7 +174,8 @@ def presence_strip(r: Relation, name: str, slots: int = SLOTS, row: str = ROW_ID
 
 
 def tokens(c: Column) -> Column:
-    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: F.length(x) > 0)
+    """Runs of letters and digits, in small letters."""
+    return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0)
 
 
 def terms(r: Relation, name: str, width: int = 1) -> DataFrame:
@@ -184,7 +185,8 @@ def terms(r: Relation, name: str, width: int = 1) -> DataFrame:
     for i in range(1, width):
         # each gram that has a word after it, and that word
         grams = F.zip_with(F.slice(grams, F.lit(1), n - i), F.slice(F.col("t"), F.lit(i + 1), n - i), lambda a, b: F.concat(a, F.lit(" "), b))
-    return t.select(F.explode(grams).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    # outer, as a filter that Spark infers for the plain one would make all grams twice
+    return t.select(F.explode_outer(grams).alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_terms(r: Relation, name: str, width: int = 1, k: int = TERMS) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,8 +24,20 @@ def _bucket(x: Column, low: Column, high: Column, n: int, fine: bool) -> Column:
     return F.least(F.floor(share * n), F.lit(n - 1)).cast("int")
 
 
-def at_ranks(df: DataFrame, wanted: list[int], bounds: tuple | None = None, name: str = "v") -> dict[int, object]:
-    """The values at the given ranks, from 0, of a column of numbers without nulls, in ascending order.
+def _take(found: dict[int, object], wanted: list[int], rank: int, values: list) -> None:
+    """Notes the values at those of the sorted ``wanted`` ranks that lie among (value, count), of which the first has ``rank``."""
+    at = bisect_left(wanted, rank)
+    for x, n in values:
+        rank += n
+        while at < len(wanted) and wanted[at] < rank:
+            found[wanted[at]] = x
+            at += 1
+
+
+def at_ranks(df: DataFrame, wanted: list[int], bounds: tuple | None = None, name: str = "v", size: int | None = None) -> dict[int, object]:
+    """The values at the given ranks, from 0, of a column of numbers in ascending order, nulls left out.
+
+    ``bounds`` and ``size``: the least and the greatest value and the number of rows, where they are known already.
 
     The column is counted in buckets; buckets that hold a wanted rank are divided again until their values are few.
     What reaches the driver is bounded by BUCKETS and VALUES; the data themselves are never moved.
@@ -34,8 +46,12 @@ def at_ranks(df: DataFrame, wanted: list[int], bounds: tuple | None = None, name
     if not todo:
         return {}
     found: dict[int, object] = {}
+    if size is not None and size <= VALUES:
+        rows = df.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy("v").collect()
+        _take(found, todo, 0, rows)
+        return found
     low, high = bounds or df.agg(F.min(name), F.max(name)).first()
-    rows, v = df.select(F.col(name).alias("v")), F.col("v")
+    rows, v = df.select(F.col(name).alias("v")).filter("v is not null"), F.col("v")
     live = [(low, high, 0)]  # least value, greatest value, rank of the first
     index, level = F.lit(0), 0
     while todo:
@@ -71,9 +87,7 @@ def at_ranks(df: DataFrame, wanted: list[int], bounds: tuple | None = None, name
             for r in rows.withColumn("i", index).filter("i is not null").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).orderBy("i", "v").collect():
                 values[r["i"]].append((r["v"], r["n"]))
             for (_, _, rank), own in zip(live, values, strict=True):
-                for x, n in own:
-                    found.update((k, x) for k in todo if rank <= k < rank + n)
-                    rank += n
+                _take(found, todo, rank, own)
             break
     return found
 
@@ -84,7 +98,7 @@ def quantile_values(df: DataFrame, at: tuple[float, ...] | list[float], name: st
     if not b["n"]:
         return 0, [None] * len(at)
     places = [q * (b["n"] - 1) for q in at]
-    found = at_ranks(df, [k for p in places for k in (math.floor(p), math.ceil(p))], (b["lo"], b["hi"]), name)
+    found = at_ranks(df, [k for p in places for k in (math.floor(p), math.ceil(p))], (b["lo"], b["hi"]), name, b["n"])
     return b["n"], [found[math.floor(p)] + (found[math.ceil(p)] - found[math.floor(p)]) * (p - math.floor(p)) for p in places]
 
 

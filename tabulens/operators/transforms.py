@@ -191,7 +191,7 @@ def bin_column(r: Relation, column: str, strategy: str, n_bins: int, include_nul
         for i in range(min(k, n)):
             ends.append(ends[-1] + size + (i < more))
         at = F.unix_micros(F.col("v").cast("timestamp")) if spec.logical == Logical.DATE else F.col("v")
-        found = at_ranks(df.filter(F.col("v").isNotNull()).select(at.alias("v")), [e for a, b in zip(ends, ends[1:], strict=False) for e in (a, b - 1)])
+        found = at_ranks(df.filter(F.col("v").isNotNull()).select(at.alias("v")), [e for a, b in zip(ends, ends[1:], strict=False) for e in (a, b - 1)], None if spec.logical == Logical.DATE else (bounds["lo"], bounds["hi"]), size=n)
         tiles = [(i, found[a], found[b - 1], b - a) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
         missing = df.filter(F.col("v").isNull()).count() if include_nulls else 0
         tiles += [(None, None, None, missing)] if missing else []
