@@ -2,8 +2,8 @@
 
 Bytes are coded by one Huffman tree for each preceding byte, so a byte is a few binary decisions. Several contexts, each
 hashed together with the tree's node into a table of counts, predict a decision; a weight set that a gate selects
-combines them in the logistic domain, and each text refines the weights after every FEW decisions, as it is read. Counts
-and trees come from all training texts, first weights from a bounded sample of them.
+combines them in the logistic domain, and each text refines the weights after every FEW decisions, as it is read. Counts,
+trees and first weights come from all training texts.
 
 Reading decision after decision is no work for NumPy: ContextMixer.java does it, compiled by the compiler that Spark
 itself generates code with, and sent to the executors as a jar. Rows of it are blocks of whole texts.
@@ -30,7 +30,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType
+from pyspark.sql.types import ArrayType, BinaryType, LongType
 
 from tabulens.llm.common import Rows, as_bytes, bounded, merged_blocks, owner_keys, partitions, release, releasing, shared_dir, text_or_empty, written
 from tabulens.llm.packing import pack_bytes, pack_numbers, unpack_bytes, unpack_numbers
@@ -45,10 +45,11 @@ GATES = 9
 BITS, LEAST_BITS, PART = 22, 16, 1 << 16
 #: Decisions after which a text's weights are refined, and bytes after which the count of these begins anew.
 FEW, PIECE = 8, 1 << 16
-#: The step of that while a text is scored and while first weights are learnt, and the greatest logarithm of odds.
-ONLINE, LEARN, LIMIT = 0.01, 0.002, 9.0
-#: Training texts, about, that first weights are learnt from: those with the least hash.
-SAMPLE = 512
+#: The step of that while a text is scored, and the greatest logarithm of odds.
+ONLINE, LIMIT = 0.01, 9.0
+#: Numbers of a gate that first weights are fitted from, steps in one at which those of a text are rounded (both as in
+#: ContextMixer), and what holds weights of which few decisions tell to where they start.
+SUMS, ROUNDED, HOLD = INPUTS * (INPUTS + 1) // 2 + INPUTS, 1 << 16, 10.0
 #: Bytes of text in a block that is scored, and in one that is counted.
 BLOCK_BYTES, COUNT_BYTES = 8 << 20, 32 << 20
 #: Tasks whose counts one task adds up on the first of two levels, once there are more than that.
@@ -146,7 +147,7 @@ def functions(spark: SparkSession) -> None:
         spark.sql(f"ADD JAR '{at.toString()}'").collect()
         _functions.add(app)
     loader = spark._jsparkSession.sharedState().jarClassLoader()
-    for name, kind in (("counts", ArrayType(BinaryType())), ("scores", BinaryType()), ("learned", BinaryType())):
+    for name, kind in (("counts", ArrayType(BinaryType())), ("scores", BinaryType()), ("sums", ArrayType(LongType())), ("learned", BinaryType())):
         made = spark.sparkContext._jvm.java.lang.Class.forName(f"tabulens.ContextMixer${name.capitalize()}", True, loader).newInstance()
         spark._jsparkSession.udf().register(f"context_mixer_{name}", made, spark._jsparkSession.parseDataType(kind.json()))
 
@@ -250,20 +251,29 @@ def cells(counts: np.ndarray) -> np.ndarray:
     return out[:, 0] << np.uint16(8) | out[:, 1]
 
 
-def first_weights(train: DataFrame, table: DataFrame, weights: np.ndarray, texts: int) -> np.ndarray:
-    """Weights learnt from about SAMPLE of ``texts`` training texts, read one after another in the order of a hash.
+def first_weights(train: DataFrame, table: DataFrame, weights: np.ndarray) -> np.ndarray:
+    """Weights fitted to all decisions of all training texts: for each gate, one Newton step of a logistic regression.
 
-    A text's own occurrences are left out of the counts that predict it. The sample and its order depend on the texts
-    alone, so scores don't depend on how the rows are dealt out.
+    A text's own occurrences are left out of the counts that predict it. Its sums are rounded and then added up as whole
+    numbers, so scores don't depend on how the rows are dealt out. GATES times SUMS rows reach the driver.
     """
-    if not texts:
-        return weights
-    order = F.xxhash64("text_")
-    share = F.lit(min(1 << 40, math.ceil((SAMPLE << 40) / texts)))
-    sample = train.select("text_").withColumn("h", order).filter(F.pmod("h", F.lit(1 << 40)) < share).repartition(1).sortWithinPartitions("h", "text_")
-    blocks = with_model(text_blocks(sample, 1 << 30), table)
-    found = blocks.select(F.call_function("context_mixer_learned", "model", packed_weights(weights), "text", "lengths", F.lit(LEARN).cast("float")).alias("w")).first()
-    return weights if found is None else np.frombuffer(bytes(found["w"]), "<f4").reshape(GATES, INPUTS)
+    sums = with_model(text_blocks(train, BLOCK_BYTES), table).select(F.call_function("context_mixer_sums", "model", packed_weights(weights), "text", "lengths").alias("sums"))
+    # outer, as in count_tables
+    rows = sums.select(F.posexplode_outer("sums").alias("at", "n")).groupBy("at").agg(F.sum(F.col("n").cast("decimal(28,0)")).alias("n"))
+    total = np.zeros(GATES * SUMS)
+    for r in rows.collect():
+        total[r["at"]] = int(r["n"]) / ROUNDED
+    return fitted(total.reshape(GATES, SUMS), weights)
+
+
+def fitted(sums: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The weights that solve each gate's equations: the upper triangle of a matrix, then the right side."""
+    out = np.empty((GATES, INPUTS))
+    for gate, own in enumerate(sums):
+        upper = np.zeros((INPUTS, INPUTS))
+        upper[np.triu_indices(INPUTS)] = own[:-INPUTS]
+        out[gate] = np.linalg.solve(upper + np.triu(upper, 1).T + HOLD * np.eye(INPUTS), own[-INPUTS:] + HOLD * start[gate])
+    return out.clip(-4, 4).astype(np.float32)
 
 
 def train_model(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
@@ -274,7 +284,7 @@ def train_model(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     model.tables = count_tables(train, model)
     table, weights = model_table(docs.sparkSession, model), model.weights
     del model
-    return table, first_weights(train, table, weights, int(pairs[:, END].sum()))
+    return table, first_weights(train, table, weights)
 
 
 def tokens(data: bytes) -> list[bytes]:

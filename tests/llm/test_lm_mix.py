@@ -167,6 +167,27 @@ def test_counts_and_first_weights_are_those_of_plain_loops(ready):
     assert np.allclose(np.frombuffer(bytes(row["w"]), "<f4").reshape(9, 6), np.mean(kept, axis=0), atol=1e-3)
 
 
+def test_first_weights_are_fitted_to_all_training_texts(ready):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 4))) for _ in range(1500)]
+    table, got = L.train_model(frame(ready, texts).withColumn("held_out", F.lit(False)).repartition(3))
+    data = [t.encode() for t in texts]
+    model = model_of(data)
+    model.bits = min(L.BITS, max(L.LEAST_BITS, int(math.log2(sum(map(len, data)) + len(data) + 1)) + 1))
+    model.tables = L.count_tables(frame(ready, texts), model)
+    plain, start = Plain(model), np.full((L.GATES, L.INPUTS), 0.25)
+    left, right = np.zeros((L.GATES, L.INPUTS, L.INPUTS)), np.zeros((L.GATES, L.INPUTS))
+    for t in data:
+        for i in range(len(t) + 1):
+            for node, branch, slots in plain.way(t, i, t[i] if i < len(t) else 256):
+                u, gate, p = plain.share(node, branch, slots, start, True)
+                left[gate] += p * (1 - p) * np.outer(u, u)
+                right[gate] += (p * (1 - p) * (start[gate] @ u) + 1 - p) * u
+    want = [np.linalg.solve(a + L.HOLD * np.eye(L.INPUTS), b + L.HOLD * w) for a, b, w in zip(left, right, start, strict=True)]
+    assert np.allclose(got, want, atol=2e-3) and not np.allclose(got, start, atol=0.1)
+
+
 def test_scores_do_not_depend_on_how_rows_are_dealt_out(ready, monkeypatch):
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(80)]
