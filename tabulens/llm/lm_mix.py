@@ -147,7 +147,7 @@ def functions(spark: SparkSession) -> None:
         spark.sql(f"ADD JAR '{at.toString()}'").collect()
         _functions.add(app)
     loader = spark._jsparkSession.sharedState().jarClassLoader()
-    for name, kind in (("counts", ArrayType(BinaryType())), ("scores", BinaryType()), ("sums", ArrayType(LongType())), ("learned", BinaryType())):
+    for name, kind in (("counts", ArrayType(BinaryType())), ("scores", BinaryType()), ("fits", ArrayType(LongType())), ("words", ArrayType(BinaryType())), ("learned", BinaryType())):
         made = spark.sparkContext._jvm.java.lang.Class.forName(f"tabulens.ContextMixer${name.capitalize()}", True, loader).newInstance()
         spark._jsparkSession.udf().register(f"context_mixer_{name}", made, spark._jsparkSession.parseDataType(kind.json()))
 
@@ -257,7 +257,7 @@ def first_weights(train: DataFrame, table: DataFrame, weights: np.ndarray) -> np
     A text's own occurrences are left out of the counts that predict it. Its sums are rounded and then added up as whole
     numbers, so scores don't depend on how the rows are dealt out. GATES times SUMS rows reach the driver.
     """
-    sums = with_model(text_blocks(train, BLOCK_BYTES), table).select(F.call_function("context_mixer_sums", "model", packed_weights(weights), "text", "lengths").alias("sums"))
+    sums = with_model(text_blocks(train, BLOCK_BYTES), table).select(F.call_function("context_mixer_fits", "model", packed_weights(weights), "text", "lengths").alias("sums"))
     # outer, as in count_tables
     rows = sums.select(F.posexplode_outer("sums").alias("at", "n")).groupBy("at").agg(F.sum(F.col("n").cast("decimal(28,0)")).alias("n"))
     total = np.zeros(GATES * SUMS)
@@ -287,11 +287,6 @@ def train_model(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return table, first_weights(train, table, weights)
 
 
-def tokens(data: bytes) -> list[bytes]:
-    """Lower-cased words between white space, then the end, which is written as no bytes."""
-    return [*data.lower().split(), b""]
-
-
 def _stamp(distinct: Iterable[bytes]) -> int:
     return zlib.crc32(b"\x00".join(distinct))
 
@@ -302,14 +297,15 @@ def _numbered_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, p
         yield part << 32 | i, rows
 
 
-def _places(data: list[bytes]) -> tuple[dict[bytes, int], list[np.ndarray]]:
-    """(the distinct tokens in the order of their first places, the number of each text's tokens among them)."""
-    place: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
-    found = []
-    for t in data:
-        own = tokens(t)
-        found.append(np.fromiter(map(place.__getitem__, own), np.uint32, len(own)))
-    return place, found
+def numbered_blocks(docs: DataFrame) -> DataFrame:
+    """(block, again, held, lengths, text): ``text_blocks`` with their numbers and, of each text, its id and whether it is held out."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in _numbered_blocks(batches):
+            data = as_bytes(rows.column(2))
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block]), "again": pa.array([rows.column(0).to_pylist()], pa.list_(pa.int64())), "held": pa.array([rows.column(1).to_pylist()], pa.list_(pa.bool_())), "lengths": pa.array([lengths_of(data)], pa.binary()), "text": pa.array([b"".join(data)], pa.binary())})
+
+    return docs.mapInArrow(releasing(run), "block long, again array<long>, held array<boolean>, lengths binary, text binary")
 
 
 def token_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -324,14 +320,14 @@ def token_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(pa.schema([("owner", pa.int64()), ("block", pa.int64()), ("stamp", pa.int64()), ("places", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("keys", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary())]))
-        for block, rows in _numbered_blocks(batches):
-            place, found = _places(as_bytes(rows.column(2)))
-            trained = [x for x, held in zip(found, rows.column(1).to_pylist(), strict=True) if not held]
-            counts = np.bincount(np.concatenate([np.zeros(0, np.uint32), *trained]), minlength=len(place))
-            distinct = list(place)
+        for block, keys, held, found in (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            places, sizes, blob, lengths = found
+            places, sizes, ends = np.frombuffer(places, "<u4"), np.frombuffer(sizes, "<u4"), np.frombuffer(lengths, "<u4").cumsum(dtype=np.int64).tolist()
+            distinct = [blob[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            counts = np.bincount(places[~np.repeat(np.array(held, bool), sizes)], minlength=len(distinct))
             mark = _stamp(distinct)
             # the row of the block itself has no owner
-            row = None, block, mark, pack_numbers(np.concatenate(found)), None, None, rows.column(0).to_pylist(), rows.column(1).to_pylist(), pack_numbers(np.array([len(x) for x in found]))
+            row = None, block, mark, pack_numbers(places), None, None, keys, held, pack_numbers(sizes)
             yield from out.add(row, len(row[3]) + 10 * len(row[6]))
             owners = np.fromiter(map(zlib.crc32, distinct), np.uint32, len(distinct)) % n
             order = np.argsort(owners, kind="stable")
@@ -365,7 +361,8 @@ def token_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         yield from out.add((-1, 0, b"", b"", int((total[:known] > 0).sum()), int(total.sum())), 0)
         yield from out.flush()
 
-    sent = written(docs.mapInArrow(releasing(words), "owner long, block long, stamp long, places binary, words binary, counts binary, keys array<long>, held array<boolean>, sizes binary"), "tokens")
+    found = numbered_blocks(docs).select("block", F.col("again").alias("keys"), "held", F.call_function("context_mixer_words", "text", "lengths").alias("found"))
+    sent = written(found.mapInArrow(releasing(words), "owner long, block long, stamp long, places binary, words binary, counts binary, keys array<long>, held array<boolean>, sizes binary"), "tokens")
     blocks = sent.filter("owner is null").select("block", "stamp", "keys", "held", "sizes", "places")
     sent = sent.filter("owner is not null").select("owner", "block", "stamp", "places", "words", "counts")
     return blocks, written(sent.repartition(n, "owner").mapInArrow(releasing(count), "block long, stamp long, places binary, counts binary, kinds long, tokens long"), "counts")
@@ -387,11 +384,6 @@ def document_scores(documents: DataFrame) -> DataFrame:
     kinds, total = int(totals["v"] or 0), int(totals["n"] or 0)
     rest = math.log10(total + kinds + 1)
 
-    def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, part in _numbered_blocks(batches):
-            data = as_bytes(part.column(2))
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block]), "again": pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), "lengths": pa.array([lengths_of(data)], pa.binary()), "text": pa.array([b"".join(data)], pa.binary())})
-
     def wide(data: bytes) -> np.ndarray:
         return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint64).astype(np.int64) if data[:1] == b"\x00" else unpack_numbers(data).astype(np.int64)
 
@@ -410,7 +402,7 @@ def document_scores(documents: DataFrame) -> DataFrame:
         release()
         return out
 
-    blocks = with_model(docs.mapInArrow(releasing(texts), "block long, again array<long>, lengths binary, text binary"), table)
+    blocks = with_model(numbered_blocks(docs).drop("held"), table)
     scored = blocks.withColumn("scores", F.call_function("context_mixer_scores", "model", packed_weights(weights), "text", "lengths")).drop("model", "text")
     # a block that was cut differently the second time is on one side only, and fails below
     scored = scored.join(rows, "block", "full")

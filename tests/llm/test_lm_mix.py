@@ -208,3 +208,35 @@ def test_unseen_texts_gain_from_what_others_hold(ready):
     out = L.document_scores(docs).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.avg("bits_per_byte")).first()
     # six letters and a blank, of which log2(300) bits are news
     assert out[0] > 1.2 * out[1] and out[2] < 1.25 * math.log2(300) / 7 + 0.2
+
+
+def test_tokens_of_a_block_are_those_of_a_plain_split(ready):
+    rng = random.Random(7)
+    texts = [*made(rng), "A aB\x0bÉ É\x1cx  ", "\x00 a\x85b c", *(" ".join(str(rng.randrange(9000)) for _ in range(400)) for _ in range(20))]
+    row = L.text_blocks(frame(ready, texts), 1 << 20).select(F.call_function("context_mixer_words", "text", "lengths").alias("w")).first()
+    places, sizes, blob, lengths = (bytes(x) for x in row["w"])
+    want = [[*t.encode().lower().split(), b""] for t in texts]
+    number = {}
+    for t in want:
+        for w in t:
+            number.setdefault(w, len(number))
+    assert np.frombuffer(places, "<u4").tolist() == [number[w] for t in want for w in t]
+    assert np.frombuffer(sizes, "<u4").tolist() == [len(t) for t in want]
+    assert blob == b"".join(number) and np.frombuffer(lengths, "<u4").tolist() == [len(w) for w in number]
+
+
+def test_fitted_sums_are_those_of_single_decisions(ready):
+    rng = random.Random(8)
+    texts = [*made(rng), " ".join(rng.choice(["ab", "ba", "abba"]) for _ in range(900))]  # more decisions than wait in one gate
+    data = [t.encode() for t in texts]
+    model = model_of(data, rng=rng)
+    row = L.with_model(L.text_blocks(frame(ready, texts), 1 << 20), L.model_table(ready, model)).select(F.call_function("context_mixer_fits", "model", L.packed_weights(model.weights), "text", "lengths").alias("s")).first()
+    plain, w = Plain(model), model.weights.astype(float)
+    want = np.zeros((L.GATES, L.SUMS))
+    for t in data:
+        for i in range(len(t) + 1):
+            for node, branch, slots in plain.way(t, i, t[i] if i < len(t) else 256):
+                u, gate, p = plain.share(node, branch, slots, w, True)
+                want[gate, : -L.INPUTS] += p * (1 - p) * np.outer(u, u)[np.triu_indices(L.INPUTS)]
+                want[gate, -L.INPUTS :] += (p * (1 - p) * (w[gate] @ u) + 1 - p) * u
+    assert np.allclose(np.array(row["s"]).reshape(L.GATES, L.SUMS) / L.ROUNDED, want, rtol=1e-4, atol=2e-2)
