@@ -219,7 +219,10 @@ def count_tables(train: DataFrame, model: Model) -> list[np.ndarray]:
                 for part, salt, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     raw, at = zstandard.ZstdDecompressor().decompress(data), (part, 0 if last else salt)
                     own = np.frombuffer(raw, f"<u{len(raw) // (2 * width)}")
-                    total[at] = total[at] + own.astype(np.int64) if at in total else own.astype(np.int64)
+                    if at in total:
+                        total[at] += own
+                    else:
+                        total[at] = own.astype(np.int64)
             pack = zstandard.ZstdCompressor(level=1)
             for (part, salt), own in total.items():
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "salt": pa.array([salt], pa.int32()), "counts": pa.array([pack.compress((cells(own) if last else own).tobytes())], pa.binary())})
@@ -291,26 +294,22 @@ def _stamp(distinct: Iterable[bytes]) -> int:
     return zlib.crc32(b"\x00".join(distinct))
 
 
-def _numbered_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    part = TaskContext.get().partitionId()
-    for i, rows in enumerate(merged_blocks(batches, BLOCK_BYTES, "text_")):
-        yield part << 32 | i, rows
-
-
 def numbered_blocks(docs: DataFrame) -> DataFrame:
-    """(block, again, held, lengths, text): ``text_blocks`` with their numbers and, of each text, its id and whether it is held out."""
+    """(block, keys, held, lengths, text): ``text_blocks`` with their numbers and, of each text, its id and whether it is held out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows in _numbered_blocks(batches):
+        part = TaskContext.get().partitionId()
+        for i, rows in enumerate(merged_blocks(batches, BLOCK_BYTES, "text_")):
             data = as_bytes(rows.column(2))
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block]), "again": pa.array([rows.column(0).to_pylist()], pa.list_(pa.int64())), "held": pa.array([rows.column(1).to_pylist()], pa.list_(pa.bool_())), "lengths": pa.array([lengths_of(data)], pa.binary()), "text": pa.array([b"".join(data)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([part << 32 | i]), "keys": pa.array([rows.column(0).to_pylist()], pa.list_(pa.int64())), "held": pa.array([rows.column(1).to_pylist()], pa.list_(pa.bool_())), "lengths": pa.array([lengths_of(data)], pa.binary()), "text": pa.array([b"".join(data)], pa.binary())})
 
-    return docs.mapInArrow(releasing(run), "block long, again array<long>, held array<boolean>, lengths binary, text binary")
+    return docs.mapInArrow(releasing(run), "block long, keys array<long>, held array<boolean>, lengths binary, text binary")
 
 
-def token_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two written tables: (block, stamp, keys, held, sizes, places), a block's rows with the numbers of their tokens among its
-    distinct ones; and (block, stamp, places, counts, kinds, tokens), the training counts of a block's distinct tokens.
+def token_counts(docs: DataFrame, table: DataFrame, weights: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: (block, stamp, keys, held, sizes, places, lengths, scores), a block's rows with the numbers of their
+    tokens among its distinct ones and with the model's scores, which come from the same reading of the texts; and (block,
+    stamp, places, counts, kinds, tokens), the training counts of a block's distinct tokens.
 
     A block sends its distinct tokens to the tasks that own them, which add up all blocks' counts and send them back. Each
     owner's rows with block -1 hold how many tokens and kinds of tokens it has seen in training texts.
@@ -319,23 +318,23 @@ def token_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys_of = owner_keys(docs.sparkSession, n)
 
     def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Rows(pa.schema([("owner", pa.int64()), ("block", pa.int64()), ("stamp", pa.int64()), ("places", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("keys", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary())]))
-        for block, keys, held, found in (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+        out = Rows(pa.schema([("owner", pa.int64()), ("block", pa.int64()), ("stamp", pa.int64()), ("places", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("keys", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary()), ("lengths", pa.binary()), ("scores", pa.binary())]))
+        for block, keys, held, texts, scores, found in (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
             places, sizes, blob, lengths = found
             places, sizes, ends = np.frombuffer(places, "<u4"), np.frombuffer(sizes, "<u4"), np.frombuffer(lengths, "<u4").cumsum(dtype=np.int64).tolist()
             distinct = [blob[a:b] for a, b in zip([0, *ends], ends, strict=False)]
             counts = np.bincount(places[~np.repeat(np.array(held, bool), sizes)], minlength=len(distinct))
             mark = _stamp(distinct)
             # the row of the block itself has no owner
-            row = None, block, mark, pack_numbers(places), None, None, keys, held, pack_numbers(sizes)
-            yield from out.add(row, len(row[3]) + 10 * len(row[6]))
+            row = None, block, mark, pack_numbers(places), None, None, keys, held, pack_numbers(sizes), texts, scores
+            yield from out.add(row, len(row[3]) + 22 * len(row[6]))
             owners = np.fromiter(map(zlib.crc32, distinct), np.uint32, len(distinct)) % n
             order = np.argsort(owners, kind="stable")
             cuts = np.searchsorted(owners[order], np.arange(n + 1))
             for o in range(n):
                 at = order[cuts[o] : cuts[o + 1]]
                 if len(at):
-                    row = keys_of[o], block, mark, pack_numbers(np.diff(at, prepend=0)), pack_bytes([distinct[i] for i in at.tolist()]), pack_numbers(counts[at]), None, None, None
+                    row = keys_of[o], block, mark, pack_numbers(np.diff(at, prepend=0)), pack_bytes([distinct[i] for i in at.tolist()]), pack_numbers(counts[at]), None, None, None, None, None
                     yield from out.add(row, sum(map(len, row[3:6])))
         yield from out.flush()
 
@@ -361,9 +360,9 @@ def token_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         yield from out.add((-1, 0, b"", b"", int((total[:known] > 0).sum()), int(total.sum())), 0)
         yield from out.flush()
 
-    found = numbered_blocks(docs).select("block", F.col("again").alias("keys"), "held", F.call_function("context_mixer_words", "text", "lengths").alias("found"))
-    sent = written(found.mapInArrow(releasing(words), "owner long, block long, stamp long, places binary, words binary, counts binary, keys array<long>, held array<boolean>, sizes binary"), "tokens")
-    blocks = sent.filter("owner is null").select("block", "stamp", "keys", "held", "sizes", "places")
+    found = with_model(numbered_blocks(docs), table).select("block", "keys", "held", "lengths", F.call_function("context_mixer_scores", "model", packed_weights(weights), "text", "lengths").alias("scores"), F.call_function("context_mixer_words", "text", "lengths").alias("found"))
+    sent = written(found.mapInArrow(releasing(words), "owner long, block long, stamp long, places binary, words binary, counts binary, keys array<long>, held array<boolean>, sizes binary, lengths binary, scores binary"), "tokens")
+    blocks = sent.filter("owner is null").select("block", "stamp", "keys", "held", "sizes", "places", "lengths", "scores")
     sent = sent.filter("owner is not null").select("owner", "block", "stamp", "places", "words", "counts")
     return blocks, written(sent.repartition(n, "owner").mapInArrow(releasing(count), "block long, stamp long, places binary, counts binary, kinds long, tokens long"), "counts")
 
@@ -379,7 +378,7 @@ def document_scores(documents: DataFrame) -> DataFrame:
     functions(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text_or_empty().alias("text_"))
     table, weights = train_model(docs)
-    rows, counted = token_counts(docs)
+    rows, counted = token_counts(docs, table, weights)
     totals = counted.agg(F.sum("kinds").alias("v"), F.sum("tokens").alias("n")).first()
     kinds, total = int(totals["v"] or 0), int(totals["n"] or 0)
     rest = math.log10(total + kinds + 1)
@@ -388,8 +387,8 @@ def document_scores(documents: DataFrame) -> DataFrame:
         return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint64).astype(np.int64) if data[:1] == b"\x00" else unpack_numbers(data).astype(np.int64)
 
     def base(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows != 1 or left.column("again")[0] != left.column("keys")[0] or {*left.column("stamp").to_pylist()} != {*right.column("stamp").to_pylist()}:
-            raise RuntimeError("a block of documents was read differently the second time; score a written table")
+        if left.num_rows != 1 or {*left.column("stamp").to_pylist()} != {*right.column("stamp").to_pylist()}:
+            raise RuntimeError("a block's tokens and their counts are not of the same reading")
         at = np.concatenate([unpack_numbers(b).cumsum(dtype=np.int64) for b in right.column("places").to_pylist()])
         count_of = np.zeros(len(at), np.int64)
         count_of[at] = np.concatenate([wide(b) for b in right.column("counts").to_pylist()])
@@ -402,11 +401,7 @@ def document_scores(documents: DataFrame) -> DataFrame:
         release()
         return out
 
-    blocks = with_model(numbered_blocks(docs).drop("held"), table)
-    scored = blocks.withColumn("scores", F.call_function("context_mixer_scores", "model", packed_weights(weights), "text", "lengths")).drop("model", "text")
-    # a block that was cut differently the second time is on one side only, and fails below
-    scored = scored.join(rows, "block", "full")
-    both = scored.groupBy("block").cogroup(counted.filter("block >= 0").select("block", "stamp", "places", "counts").groupBy("block"))
+    both = rows.groupBy("block").cogroup(counted.filter("block >= 0").select("block", "stamp", "places", "counts").groupBy("block"))
     out = both.applyInArrow(base, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     bits = -F.col("score") / F.lit(math.log10(2)) / F.greatest(F.col("n_bytes"), F.lit(1))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))

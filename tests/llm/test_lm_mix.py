@@ -240,3 +240,29 @@ def test_fitted_sums_are_those_of_single_decisions(ready):
                 want[gate, : -L.INPUTS] += p * (1 - p) * np.outer(u, u)[np.triu_indices(L.INPUTS)]
                 want[gate, -L.INPUTS :] += (p * (1 - p) * (w[gate] @ u) + 1 - p) * u
     assert np.allclose(np.array(row["s"]).reshape(L.GATES, L.SUMS) / L.ROUNDED, want, rtol=1e-4, atol=2e-2)
+
+
+def test_every_text_is_read_four_times(ready):
+    read = ready.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = ready.createDataFrame([(i, f"word{i % 7} and {i}", None, None, None) for i in range(90)], DOCS)
+    got = L.document_scores(docs.mapInArrow(counted, DOCS)).collect()
+    # for codes, counts and first weights, and once for both scores and tokens
+    assert len(got) == 90 and read.value == 4 * 90
+
+
+def test_long_runs_of_one_gate_are_those_of_the_plain_mixer(ready):
+    rng = random.Random(9)
+    texts = [*made(rng), " ".join(rng.choice(["ab", "ba", "abba", "öl"]) for _ in range(400))]
+    model = model_of([t.encode() for t in texts], rng=rng)
+    # of 200 slots one is empty, all others are full: runs of many decisions, longer than AT_ONCE, that other gates break
+    model.tables = [np.array([(rng.randrange(2, 256) << 8 | rng.randrange(2, 256)) * (rng.random() > 0.005) for _ in range(1 << 16)], np.uint16) for _ in range(4)]
+    row = L.with_model(L.text_blocks(frame(ready, texts), 1 << 20), L.model_table(ready, model)).select(F.call_function("context_mixer_scores", "model", L.packed_weights(model.weights), "text", "lengths").alias("s")).first()
+    plain = Plain(model)
+    want = [plain.read(t.encode(), model.weights.astype(float), L.ONLINE) for t in texts]
+    assert np.allclose(np.frombuffer(bytes(row["s"]), "<f8"), want, rtol=1e-4, atol=1e-4)
